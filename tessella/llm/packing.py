@@ -16,6 +16,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -75,6 +76,12 @@ class WordTokenizer:
         return out
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(path: str, cached_words: int) -> WordTokenizer:
+    """One for all tasks of a worker process, so that they share its words."""
+    return WordTokenizer(path, cached_words)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, p: PackParams = PackParams(), with_ids: bool = False) -> DataFrame:
     """Token pieces of at most ``capacity``: doc_id, piece, start, length, ids_crc32 (and ids).
 
@@ -83,7 +90,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, p: PackParams = PackParams(), w
     cut, end = 4 * p.capacity, np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = WordTokenizer(tokenizer_path, p.cached_words)
+        tok = _tokenizer(tokenizer_path, p.cached_words)
         for b in batches:
             rows = []
             for d, ids in zip(b["doc_id"], tok.encode_batch(b["text"].tolist()), strict=True):
