@@ -226,7 +226,7 @@ def search(vectors: DataFrame, is_query: Column, p: AnnParams = AnnParams()) ->
             yield b.assign(leaf=leaf_of(sent.value, np.stack(b["v"].to_numpy()).astype(float)).astype(np.int32) if len(b) else np.zeros(0, np.int32))
 
     kind = vectors.schema["embedding"].dataType.simpleString()
-    index = save(index0.mapInPandas(assign, f"vec_id long, v {kind}, leaf int"), "ann-index")
+    index = save(index0.mapInPandas(assign, f"vec_id long, v {kind}, leaf int"), "ann-index", "zstd")
     asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v").distinct()
     some = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(p.calibration_queries).collect()
     if not some:

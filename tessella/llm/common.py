@@ -27,11 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def save(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def save(df: DataFrame, name: str, codec: str = "uncompressed") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Lineage ends here, so a lost executor costs a reread and no recomputation.
-    The folder is deleted when the driver's JVM ends.
+    The folder is deleted when the driver's JVM ends.  Narrow tables stay
+    uncompressed: native codecs hold memory outside the heap for each file.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"

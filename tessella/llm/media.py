@@ -216,4 +216,4 @@ def to_pcm(clips: DataFrame, keep: tuple[str, ...] = ("doc_id",), rate: int = RA
 
 def text_media(docs: DataFrame) -> DataFrame:
     """Store every text as a clip in a table in the shared folder, read it back and describe it."""
-    return media_features(save(store_texts(docs), "media"))
+    return media_features(save(store_texts(docs), "media", "zstd"))

@@ -279,4 +279,4 @@ def pack(parts: DataFrame, p: PackParams = PackParams()) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, p: PackParams = PackParams(), with_ids: bool = False) -> DataFrame:
     """Tokenize and pack every row of ``docs``."""
-    return pack(save(pieces(docs, tokenizer_path, p, with_ids), "pieces"), p)
+    return pack(save(pieces(docs, tokenizer_path, p, with_ids), "pieces", "zstd" if with_ids else "uncompressed"), p)

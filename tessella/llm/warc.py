@@ -96,7 +96,7 @@ def write_archive(pages: DataFrame, min_bytes: int = 0, chunk_bytes: int = CHUNK
                         rows, held = [], 0
             yield _typed(pd.DataFrame(rows, columns=names))
 
-    return save(typed.mapInPandas(run, _ROWS), "warc")
+    return save(typed.mapInPandas(run, _ROWS), "warc", "zstd")
 
 
 def _typed(b: pd.DataFrame) -> pd.DataFrame:
