@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, text_of
 from .components import connected_components
 
 WORD_SEED = 42
@@ -59,14 +59,14 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and ``fp`` (signed 64 bit) of every row; null text is empty."""
+    """doc_id, ``fp`` (signed 64 bit) and ``th`` (hash of the text) of every row; null text is empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
+            yield b.assign(fp=np.array([fingerprint(t) for t in b.pop("text")], np.uint64).view(np.int64))
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    text = text_of(F.col("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInPandas(run, "doc_id long, th long, fp long")
 
 
 _ONE = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -127,6 +127,15 @@ def links(distinct: DataFrame, hot_entry: int = HOT_ENTRY) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _grouped(docs: DataFrame, hot_entry: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, fp) of every row, and (fp, root) of every distinct fingerprint."""
+    fps = save(fingerprints(docs), "simhash-fp")
+    distinct = save(fps.select("fp").distinct(), "simhash-distinct")
+    pairs = save(links(distinct, hot_entry), "simhash-links")
+    roots = connected_components(pairs).withColumnRenamed("node", "fp")  # only of fingerprints that have links
+    return fps, save(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, hot_entry: int = HOT_ENTRY) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable) of every row.
 
@@ -134,15 +143,20 @@ def near_duplicates(docs: DataFrame, hot_entry: int = HOT_ENTRY) -> DataFrame:
     other.  Repeated rows keep one result each.  A null doc_id takes part but
     is never the smallest; a component of only such rows has a null id.
     """
-    fps = save(fingerprints(docs), "simhash-fp")
-    distinct = save(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    pairs = save(links(distinct.select("fp"), hot_entry), "simhash-links")
-    root = connected_components(pairs.select("a", "b"))  # node, root: only of nodes that have links
-    linked = distinct.join(root, distinct.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = save(linked, "simhash-roots")
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = linked.join(ids, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    fps, roots = _grouped(docs, hot_entry)
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp")
+    ids = save(least, "simhash-least").groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(roots.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, hot_entry: int = HOT_ENTRY) -> DataFrame:
+    """The rows of ``docs`` with one document of each component: the smallest doc_id (null last), of it the smallest text hash."""
+    fps, roots = _grouped(docs, hot_entry)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    best = fps.groupBy("fp").agg(F.min(order).alias("one")).join(roots, "fp").groupBy("root").agg(F.min("one").alias("one"))
+    kept = best.select(F.coalesce("one.doc_id", F.lit(0)).alias("_id"), F.col("one.none").alias("_none"), F.col("one.th").alias("_th"))
+    own = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull(), "_th": F.xxhash64(text_of(F.col("text")))})
+    return own.join(kept, ["_id", "_none", "_th"], "left_semi").dropDuplicates(["_id", "_none", "_th"]).drop("_id", "_none", "_th")
 
 
 def hex16(fp) -> "F.Column":
