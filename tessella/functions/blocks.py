@@ -28,10 +28,9 @@ def correlate(x: np.ndarray, kernel: np.ndarray, mode: str = "constant", pad_val
 
 @lru_cache(maxsize=64)
 def gaussian(size: int, sigma: float) -> np.ndarray:
-    at = np.linspace(-(size // 2), size // 2, size)
-    line = np.exp(-(at**2) / (2 * sigma**2))
-    kernel = np.outer(line, line)
-    return kernel / kernel.sum()
+    at = np.linspace(-(size // 2), size // 2, size) / (np.sqrt(2) * sigma)
+    weight = np.exp(-np.add.outer(at**2, at**2))
+    return weight / weight.sum()
 
 
 def blur(x: np.ndarray, size: int = 3, sigma: float = 3.0) -> np.ndarray:

@@ -87,7 +87,9 @@ def encode(encodings: DataFrame, images: DataFrame, n_transforms: int = 10, erro
     wrap = error_mode == "wrap256"
 
     def image(s) -> np.ndarray | None:
-        return None if s is None else np.asarray(s["pixels"], np.int64).reshape(s["h"], s["w"])
+        if s is None or s["pixels"] is None:
+            return None
+        return np.asarray(s["pixels"], np.int64).reshape(int(s["h"]), int(s["w"]))  # sizes are float where a batch has nulls
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -168,14 +170,14 @@ def decode(codes: DataFrame, sources: DataFrame, iterations: int = 5, clip: bool
     rows = sources.join(book, "encoding_id")
 
     def image(s, h: int, w: int) -> np.ndarray:
-        x = np.asarray(s["pixels"], float).reshape(1, s["h"], s["w"])
+        x = np.asarray(s["pixels"], float).reshape(1, int(s["h"]), int(s["w"]))
         return x if x.shape[1:] == (h, w) else blocks.resize(x, (h, w)).astype(float)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for e, h, w, s1, s2, own in zip(*(b[c] for c in ("encoding_id", "h", "w", "source1", "source2", "codes")), strict=True):
                 one = image(s1, h, w)
-                two = one if s2 is None else image(s2, h, w)
+                two = one if s2 is None or s2["pixels"] is None else image(s2, h, w)
                 steps = [one]
                 parts: dict[tuple, list] = {}
                 for c in own:
