@@ -10,9 +10,11 @@ word that was never seen shares n-grams with words that were.
 
 from __future__ import annotations
 
+import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -24,15 +26,19 @@ from .common import text_of
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """toxic_rows, clean_rows and max_chars bound the labelled sample; zeros: how many zero vectors are averaged in."""
+    """toxic_rows, clean_rows and max_chars bound the labelled sample; zeros: how many zero
+    vectors are averaged in; min_uses: rarer n-grams are not learned, or they
+    would learn single texts by heart."""
 
     toxic_rows: int = 1_600
     clean_rows: int = 3_000
-    max_chars: int = 16_000_000
+    max_chars: int = 12_000_000
     buckets: int = 1 << 18
-    zeros: float = 5.0
+    zeros: float = 20.0
+    min_uses: int = 20
+    toxic_weight: float = 0.75
     dim: int = 8
-    n_min: int = 3
+    n_min: int = 2
     n_max: int = 5
     epochs: int = 60
     rate: float = 0.1
@@ -49,6 +55,7 @@ class ToxicityModel:
     weight: np.ndarray
     bias: float
     params: ToxicityParams
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 def words_of(text: str) -> set[str]:
@@ -70,7 +77,7 @@ def buckets_of(word: str, p: ToxicityParams) -> list[int]:
 
 
 def train(texts: list[str], labels: np.ndarray, p: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """Full-batch Adam on the cross entropy, both classes weighted alike.
+    """Full-batch Adam on the cross entropy; the toxic texts together weigh toxic_weight.
 
     No text, or one class alone: a constant model.
     """
@@ -82,29 +89,37 @@ def train(texts: list[str], labels: np.ndarray, p: ToxicityParams = ToxicityPara
     for i, t in enumerate(texts):
         own = [vocab.setdefault(w, len(vocab)) for w in sorted(words_of(t))]
         if own:
-            rows.append(np.full(len(own), i))
-            cols.append(np.array(own, np.int64))
+            rows.append(np.full(len(own), i, np.int32))
+            cols.append(np.array(own, np.int32))
             vals.append(np.full(len(own), 1 / (len(own) + p.zeros), np.float32))
     if not rows:
         return ToxicityModel(np.zeros(p.buckets, np.float32), 0.0, p)
-    row, col, val = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals).astype(np.float32)
-    grams = [buckets_of(w, p) for w in vocab]
-    size = np.fromiter(map(len, grams), np.int64, len(grams))
-    gram = np.fromiter((g for x in grams for g in x), np.int64, int(size.sum()))
-    start = np.concatenate([[0], np.cumsum(size)[:-1]])
-    owner = np.repeat(np.arange(len(grams)), size)
-    by_gram = np.argsort(gram, kind="stable")
+    row, col, val = (np.concatenate(x) for x in (rows, cols, vals))
+    del rows, cols, vals
+    flat, ends = array("i"), array("q", [0])  # compact: the sample's words have millions of n-grams
+    for w in vocab:
+        flat.extend(buckets_of(w, p))
+        ends.append(len(flat))
+    gram, bounds = np.frombuffer(flat, np.int32), np.frombuffer(ends, np.int64)
+    size = np.diff(bounds)
+    by_gram = np.argsort(gram, kind="stable").astype(np.int32)
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)[by_gram]
     used, first = np.unique(gram[by_gram], return_index=True)
+    del by_gram
+    seen = np.add.reduceat(np.bincount(col, minlength=len(size))[owner], first)  # uses of each bucket over all texts
+    common = seen >= p.min_uses
+    parts = [*range(0, len(size), 20_000)]
     by_word = np.argsort(col, kind="stable")
     word_first = np.unique(col[by_word], return_index=True)[1]
     doc_ids, doc_first = np.unique(row, return_index=True)
 
     rng = np.random.default_rng(p.seed)
-    emb = rng.normal(0, 0.1, (p.buckets, p.dim)).astype(np.float32)
+    emb = np.zeros((p.buckets, p.dim), np.float32)  # what is too rare to tell anything stays zero
+    emb[used[common]] = rng.normal(0, 0.1, (int(common.sum()), p.dim))
     out = rng.normal(0, 0.1, p.dim).astype(np.float32)  # difference of the two classes' output vectors
     bias = np.float32(0)
     target = y[doc_ids]
-    share = np.where(target > 0, 0.5 / max(1, target.sum()), 0.5 / max(1, (1 - target).sum()))
+    share = np.where(target > 0, p.toxic_weight / max(1, target.sum()), (1 - p.toxic_weight) / max(1, (1 - target).sum()))
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in (("emb", emb[used]), ("out", out), ("bias", np.zeros(1, np.float32)))}
 
     def step(k: str, grad: np.ndarray, t: int) -> np.ndarray:
@@ -114,8 +129,12 @@ def train(texts: list[str], labels: np.ndarray, p: ToxicityParams = ToxicityPara
         return p.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
 
     inv = (1.0 / size).astype(np.float32)[:, None]
+    word_vec = np.empty((len(size), p.dim), np.float32)
     for t in range(1, p.epochs + 1):
-        word_vec = np.add.reduceat(emb[gram], start) * inv
+        for a in parts:  # n-gram vectors of some words at a time
+            lo, hi = bounds[a], bounds[min(a + 20_000, len(size))]
+            word_vec[a : a + 20_000] = np.add.reduceat(emb[gram[lo:hi]], bounds[a : min(a + 20_000, len(size))] - lo)
+        word_vec *= inv
         doc = np.add.reduceat(word_vec[col] * val[:, None], doc_first)
         prob = 1 / (1 + np.exp(-np.clip(doc @ out * 30 + bias, -30, 30)))
         delta = ((prob - target) * share).astype(np.float32)
@@ -123,31 +142,45 @@ def train(texts: list[str], labels: np.ndarray, p: ToxicityParams = ToxicityPara
         full = np.zeros(len(y), np.float32)
         full[doc_ids] = delta
         per_word = np.add.reduceat((full[row] * val)[by_word], word_first) * 30 * inv[:, 0]
-        g_emb = np.add.reduceat(per_word[owner[by_gram]], first)[:, None] * out[None, :]
-        emb[used] -= step("emb", g_emb + p.decay * emb[used], t)
+        g_emb = np.add.reduceat(per_word[owner], first)[:, None] * out[None, :]
+        emb[used] -= np.where(common[:, None], step("emb", g_emb + p.decay * emb[used], t), 0)
         out -= step("out", g_out + p.decay * out, t)
         bias -= step("bias", g_bias, t)[0]
     return ToxicityModel((emb @ out * 30).astype(np.float32), float(bias), p)
 
 
-def fit(labelled: DataFrame, p: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """From rows of doc_id, text and ``toxic`` (0 or 1; others and nulls are left out).
+def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> ToxicityModel:
+    """From ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic: 0 or 1; others and nulls are left out).
 
-    The sample: of each label the rows whose id hashes lowest, whole texts, in
-    this order up to half of max_chars.
+    The sample: of each label the documents whose id hashes lowest, whole
+    texts, in this order up to half of max_chars.  Ids alone are shuffled to
+    find them; texts are looked up by a broadcast of the chosen ids.
     """
-    rows = labelled.select("doc_id", text_of(F.col("text")).alias("text"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
-    rows = rows.withColumn("h", F.xxhash64("doc_id")).withColumn("t", F.xxhash64("text"))
-    order = Window.partitionBy("toxic").orderBy("h", "t")
+    marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").distinct()
+    known = marked.join(docs.select("doc_id").distinct(), "doc_id").withColumn("h", F.xxhash64("doc_id"))
     most = max(p.toxic_rows, p.clean_rows)
-    chosen = rows.select("toxic", "h", "t").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most)
-    chosen = chosen.where(F.col("rn") <= F.when(F.col("toxic") == 1, p.toxic_rows).otherwise(p.clean_rows)).drop("rn").distinct()
-    got = rows.join(F.broadcast(chosen), ["toxic", "h", "t"], "left_semi")  # at most toxic_rows + clean_rows rows
-    got = got.dropDuplicates(["toxic", "h", "t"]).withColumn("before", F.sum(F.length("text")).over(order) - F.length("text"))
-    data = got.where(F.col("before") < p.max_chars // 2).select("toxic", "h", "t", "text").orderBy("h", "t", "toxic").collect()
+    first = Window.partitionBy("toxic").orderBy("h", "doc_id")
+    chosen = known.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= most)
+    chosen = chosen.where(F.col("rn") <= F.when(F.col("toxic") == 1, p.toxic_rows).otherwise(p.clean_rows)).drop("rn")
+    rows = docs.select("doc_id", text_of(F.col("text")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most toxic_rows + clean_rows ids
+    own = rows.withColumn("t", F.xxhash64("text")).dropDuplicates(["doc_id", "t", "toxic"])
+    order = Window.partitionBy("toxic").orderBy("h", "doc_id", "t")
+    some = own.withColumn("before", F.sum(F.length("text")).over(order) - F.length("text")).where(F.col("before") < p.max_chars // 2)
+    data = some.orderBy("h", "doc_id", "t", "toxic").select("text", "toxic").collect()
     return train([r.text for r in data], np.array([r.toxic for r in data], float), p)
 
 
+_SCORER: dict = {}
+
+
+def _scorer_of(model: ToxicityModel):
+    """One scorer for all tasks of a worker process, so that they share its words."""
+    if model.key not in _SCORER:
+        _SCORER.clear()
+        _SCORER[model.key] = _scorer(model)
+    return _SCORER[model.key]
+
+
 def _scorer(model: ToxicityModel):
     p, weight, cache = model.params, model.weight, {}
 
@@ -177,7 +210,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_i
     sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets * 4 bytes
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = _scorer(sent.value)
+        f = _scorer_of(sent.value)
         for b in batches:
             s = np.array([f(t) for t in b.pop("_text")], float)
             yield b.assign(score=s, predicted=(s >= sent.value.params.threshold).astype(np.int32))
