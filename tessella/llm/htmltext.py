@@ -36,6 +36,7 @@ _CLOSES_P = _BLOCK - frozenset("body head html caption dd dt figcaption legend l
 _NEVER = frozenset("nav footer aside form select button menu dialog input label option head fieldset".split())
 _GOOD = frozenset("article main".split())
 _BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|footer|foot|header|masthead|topbar|sidebar|side|aside|widget|cookie\w*|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comment|comments|commentlist|disqus|reply|respond|toolbar|pagination|pager|skip|legal|copyright|disclaimer|tags|hidden)(?=$|[\s_-])", re.I)
+_HEADS = frozenset(("header", "masthead"))  # inside an article they hold its title
 _GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|content|entry|post|story|body|main|text)(?=$|[\s_-])", re.I)
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NEVER = 1e6
@@ -63,8 +64,8 @@ class Node:
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN_STYLE.search(value):
                     self.bad = NEVER
             if names and tag not in ("html", "body"):
-                if _BAD_NAME.search(names):
-                    self.bad = max(self.bad, 6.0)
+                if (m := _BAD_NAME.search(names)) and not (self.good and m[0].strip(" _-").lower() in _HEADS):
+                    self.bad = max(self.bad, 20.0)
                 elif _GOOD_NAME.search(names):
                     self.good = max(self.good, 0.5)
 
