@@ -18,7 +18,7 @@ candidates at once.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -36,6 +36,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: Words longer than this are encoded in a group of their own, which bounds a group's arrays.
 _CELLS = 2_000_000
+_MEMO_BITS = 21
+_FILTER_BITS = 20
+_NONE = -(1 << 40)
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, int, int | bytes]]:
@@ -131,12 +134,14 @@ class Encoder:
         by_len: dict[int, list[int]] = {}
         for k, i in enumerate(use):
             by_len.setdefault(len(model.pieces[i]), []).append(k)
-        self.powers = np.ones(2, np.uint64)
+        self.powers = np.ones(1, np.uint64)
         for n, rows in by_len.items():
             prefix, powers = self._prefix(_codes([model.pieces[use[k]] for k in rows], n))
             keys[rows] = _hash(prefix, powers, 0, n)
         order = np.argsort(keys, kind="stable")
         self.keys, self.key_ids = keys[order], np.array(use, np.int64)[order]
+        self.maybe = np.zeros(1 << _FILTER_BITS, bool)  # most substrings are no pieces: seen here before the sorted keys are probed
+        self.maybe[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
         if len(np.unique(self.keys)) != len(self.keys):
             raise ValueError("two pieces have one hash")
         self.lengths = np.array([len(p) for p in model.pieces], np.int64)
@@ -151,7 +156,7 @@ class Encoder:
     def _prefix(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = codes.shape[1]
         while len(self.powers) <= n:
-            self.powers = np.append(self.powers, self.powers[-1] * _BASE) if len(self.powers) > 1 and self.powers[1] != 1 else np.array([1, _BASE], np.uint64)
+            self.powers = np.append(self.powers, self.powers[-1:] * _BASE)  # modulo 2^64
         prefix = np.zeros((len(codes), n + 1), np.uint64)
         for i in range(n):
             prefix[:, i + 1] = prefix[:, i] * _BASE + codes[:, i].astype(np.uint64) + np.uint64(1)
@@ -185,6 +190,7 @@ class Encoder:
                     pairs.append((a, b))
                     whole.append(i)
         self.extra, self.stride = extra, n + len(extra)
+        self.memo = np.full(1 << _MEMO_BITS, -1, np.int64)
         self.rank = np.append(self.rank, np.full(len(extra), -1, np.int64))
         key = np.array([a * self.stride + b for a, b in pairs], np.int64)
         order = np.argsort(key)
@@ -212,6 +218,20 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
         return np.where(self.pair_key[at] == key, self.rank[self.pair_id[at]], 1 << 40)
 
+    def pairs_kept(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """As :meth:`pairs_stay`, remembering pairs in a table of fixed size, where a newer pair replaces an older one."""
+        key = a * self.stride + b
+        at = ((key.view(np.uint64) * _MIX) >> np.uint64(64 - _MEMO_BITS)).astype(np.int64)
+        out = self.memo[at]
+        miss = np.nonzero((out >> 1) != key)[0]
+        if len(miss):
+            new, one, back = np.unique(key[miss], return_index=True, return_inverse=True)
+            stay = self.pairs_stay(a[miss[one]], b[miss[one]])
+            value = (new << 1) | stay
+            self.memo[at[miss[one]]] = value
+            out[miss] = value[back]
+        return (out & 1).astype(bool)
+
     def pairs_stay(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the encoding of a's and b's concatenation is just (a, b).
 
@@ -246,30 +266,37 @@ class Encoder:
 
     # ---- Viterbi
 
-    def _group(self, words: list[str], length: int) -> list[list[int]]:
-        """Piece ids of words of one length; -1 - code point for a character that no piece covers."""
+    def _probe(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions whose key is a piece's, and the pieces."""
+        some = np.nonzero(self.maybe[(key >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])[0]
+        at = np.minimum(np.searchsorted(self.keys, key[some]), len(self.keys) - 1)
+        hit = self.keys[at] == key[some]
+        return some[hit], self.key_ids[at[hit]]
+
+    def _group(self, words: list[str], length: int) -> list[bytes]:
+        """Ids of words of one length, as bytes."""
         m, n = self.model, len(words)
         codes = _codes(words, length)
         prefix, powers = self._prefix(codes)
         score = np.full((n, length + 1), -np.inf)
         score[:, 0] = 0
-        piece = np.full((n, length + 1), -1, np.int64)
+        piece = np.full((n, length + 1), _NONE, np.int64)
         back = np.zeros((n, length + 1), np.int64)
         every = np.arange(n)
         for end in range(1, length + 1):
+            single = np.zeros(n, bool)  # words whose last character is a piece
             for start in range(max(0, end - self.longest), end):
-                key = _hash(prefix, powers, start, end)
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = every[(self.keys[at] == key) & np.isfinite(score[:, start])]
+                hit, own = self._probe(_hash(prefix, powers, start, end))
+                if start == end - 1:
+                    single[hit] = True
                 if not len(hit):
                     continue
-                own = self.key_ids[at[hit]]
                 if m.bpe:
-                    good = self.reachable[own]
+                    good = self.reachable[own] & np.isfinite(score[hit, start])
                     if start:
                         before = piece[hit, start]
-                        both = good & (before >= 0)
-                        good[both] = self.pairs_stay(before[both], own[both])
+                        both = np.nonzero(good & (before >= 0))[0]
+                        good[both] = self.pairs_kept(before[both], own[both])
                     hit, own = hit[good], own[good]
                     value = np.zeros(len(hit))
                 else:
@@ -278,27 +305,29 @@ class Encoder:
                 hit, own, value = hit[better], own[better], value[better]
                 score[hit, end], piece[hit, end], back[hit, end] = value, own, start
             # a character without a piece: unknown, and in BPE it parts what stands around it
-            none = every[~np.isfinite(score[:, end]) & np.isfinite(score[:, end - 1])] if m.bpe else every
             if m.bpe:
-                one = _hash(prefix, powers, end - 1, end)
-                at = np.minimum(np.searchsorted(self.keys, one), len(self.keys) - 1)
-                none = none[self.keys[at[none]] != one[none]]
+                none = every[~single & ~np.isfinite(score[:, end]) & np.isfinite(score[:, end - 1])]
                 value = np.zeros(len(none))
             else:
-                value = score[none, end - 1] + self.unknown_score
-                better = value > score[none, end]
-                none, value = none[better], value[better]
+                value = score[:, end - 1] + self.unknown_score
+                none = np.nonzero(~single & (value > score[:, end]))[0]
+                value = value[none]
             score[none, end], back[none, end] = value, end - 1
             piece[none, end] = -1 - codes[none, end - 1].astype(np.int64)
-        out = []
-        for i in range(n):
-            if not np.isfinite(score[i, length]):
-                raise ValueError(f"no encoding of {words[i]!r}")
-            ids, at = [], length
-            while at:
-                ids.append(int(piece[i, at]))
-                at = int(back[i, at])
-            out.append(ids[::-1])
+        if not np.isfinite(score[:, length]).all():
+            raise ValueError(f"no encoding of {words[int(np.argmin(score[:, length]))]!r}")
+        at, steps = np.full(n, length), []
+        while at.any():  # all words go back together
+            steps.append(np.where(at > 0, piece[every, at], _NONE))
+            at = np.where(at > 0, back[every, at], 0)
+        path = np.stack(steps[::-1], axis=1) if steps else np.zeros((n, 0), np.int64)
+        used = path != _NONE
+        ends = np.cumsum(used.sum(axis=1)) * 4
+        flat = path[used]
+        raw = flat.astype("<u4").tobytes()
+        out = [raw[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        for i in np.nonzero(((path < 0) & used).any(axis=1))[0].tolist():
+            out[i] = np.array(self._expand(path[i][used[i]].tolist()), "<u4").tobytes()
         return out
 
     def _expand(self, ids: list[int]) -> list[int]:
@@ -313,27 +342,27 @@ class Encoder:
                 out.append(self.model.unknown)
         return out
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: Iterable[str]) -> None:
         """Encodes what the cache lacks, words of one length at a time."""
-        if len(self.cache) > self.cached_words:
-            self.cache = {}
         by_len: dict[int, list[str]] = {}
-        for w in dict.fromkeys(words):
+        for w in words:
             if w not in self.cache:
                 by_len.setdefault(len(w), []).append(w)
         for n, group in by_len.items():
             step = max(1, _CELLS // (n + 1))
             for at in range(0, len(group), step):
                 part = group[at : at + step]
-                for w, ids in zip(part, self._group(part, n), strict=True):
-                    self.cache[w] = np.array(self._expand(ids), "<u4").tobytes()
+                self.cache.update(zip(part, self._group(part, n), strict=True))
 
     def words(self, text: str) -> list[str]:
+        """Words of a text; joined, they are the text as the model sees it."""
         m = self.model
         if m.extra_spaces:
             text = regex.sub(" +", " ", text).strip(" ")
         if not text:
             return []
+        if m.dummy_prefix and m.escape and not self.whole and SPACE not in text and "  " not in text and text[-1] != " " and text[0] != " ":
+            return (SPACE + text.replace(" ", " " + SPACE)).split(" ")  # the same, faster
         if m.dummy_prefix:
             text = " " + text
         if m.escape:
@@ -346,12 +375,15 @@ class Encoder:
         at = 0
         while at < len(texts):  # so many texts that the distinct words stay few
             held, size = [], 0
-            while at + len(held) < len(texts) and (not held or size < 2_000_000):
+            while at + len(held) < len(texts) and (not held or size < 6_000_000):
                 t = texts[at + len(held)]
                 held.append(self.words(t))
                 size += len(t)
-            self.learn([w for ws in held for w in ws])
-            out += [b"".join([self.cache[w] for w in ws]) for ws in held]
+            if len(self.cache) > self.cached_words:
+                self.cache = {}
+            self.learn(set().union(*held).difference(self.cache))
+            cache = self.cache
+            out += [b"".join([cache[w] for w in ws]) for ws in held]
             at += len(held)
         return out
 
