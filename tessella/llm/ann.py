@@ -213,11 +213,14 @@ def search(vectors: DataFrame, is_query: Column, p: AnnParams = AnnParams()) ->
     same = Window.partitionBy("v").orderBy("vec_id")
     index0 = rows.withColumn("n", F.dense_rank().over(same)).where(F.col("n") <= p.k + 1).select("vec_id", "v").distinct()
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    top = rows.agg(F.max(norm2)).first()[0]
+    top, n = rows.agg(F.max(norm2), F.count("*")).first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if top is None:
         return empty
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample_rows).select("v").collect()
+    # about the lowest hashes first, so that no task sorts more than its part of the sample
+    share = 1.5 * p.sample_rows / n
+    low = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)) if share < 1 else F.lit(True)
+    sample = rows.where(low).orderBy(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)), "vec_id").limit(p.sample_rows).select("v").collect()
     tree = build_tree(np.array([r.v for r in sample], float), float(top), p)
     sent = spark.sparkContext.broadcast(tree)  # its size follows sample_rows
 
