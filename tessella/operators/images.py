@@ -124,8 +124,14 @@ def pairs(images: DataFrame, every: int = 2) -> DataFrame:
     return out.where(" and ".join(f"{n} is not null" for n in "abcdefgh"[:every]))
 
 
-def compose(both: DataFrame, name: str) -> DataFrame:
-    """Composition ``name`` of columns a and b of one shape, as pixels."""
+def composition_name(which: str | int) -> str:
+    """Name of a composition by name or number; number 1 is not registered: KeyError."""
+    return blocks.COMPOSITIONS[which] if isinstance(which, int) else which
+
+
+def compose(both: DataFrame, which: str | int) -> DataFrame:
+    """Composition of columns a and b of one shape by name or number, as pixels."""
+    name = composition_name(which)
     keep = [c for c in both.columns if c not in ("a", "b")]
     if name == "ImageXOR":
         return map_stacks(both, lambda a, b: {"pixels": flat(blocks.compose(a, b, 6))}, ["a", "b"], "pixels array<int>", keep)

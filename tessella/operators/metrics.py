@@ -22,6 +22,19 @@ def distinct_scores(both: DataFrame, widths: int = 30) -> DataFrame:
     return both.join(scored, ["h", "w", "a", "b"]).drop("a", "b")
 
 
+def wavelets(images: DataFrame, widths: int) -> DataFrame:
+    """img_id, width, p, value: causal Ricker wavelet transform of the pixels in row-major order."""
+
+    def f(x):
+        flat_x = x.reshape(len(x), -1).astype(float)
+        m = blocks.wavelet_matrices(flat_x.shape[1], widths)
+        return {"levels": [list(v) for v in (flat_x @ m.transpose(0, 2, 1)).transpose(1, 0, 2)]}
+
+    out = map_stacks(images, f, ["pixels"], "levels array<array<double>>", ["img_id"])
+    per = out.select("img_id", F.posexplode("levels").alias("width", "v"))
+    return per.select("img_id", (F.col("width") + 1).alias("width"), F.posexplode("v").alias("p", "value"))
+
+
 def ssim(both: DataFrame, window: int = 11) -> DataFrame:
     keep = [c for c in both.columns if c not in ("a", "b")]
     return map_stacks(both, lambda a, b: {"score": blocks.ssim(a, b, window)}, ["a", "b"], "score double", keep)

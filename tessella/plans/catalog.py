@@ -237,6 +237,12 @@ def cw_ssim_pair(spark, sf_dir):
     return metrics.cw_ssim(_pairs(spark, sf_dir), 5).select("pair_id", F.round("score", 6).alias("score"))
 
 
+@query
+def wavelet_transform(spark, sf_dir):
+    w = metrics.wavelets(pictures(spark, sf_dir), 3)
+    return w.select("img_id", "width", "p", F.round("value", 6).alias("value"))
+
+
 @query
 def cw_ssim_distinct(spark, sf_dir):
     return metrics.distinct_scores(_pairs(spark, sf_dir), 2).select("pair_id", F.round("score", 6).alias("score"))
@@ -415,6 +421,15 @@ def mosaic_build(spark, sf_dir):
     return _sum(src.mosaics(pictures(spark, sf_dir)), "img_id", "h", "w")
 
 
+@query
+def blur_planes(spark, sf_dir):
+    """Colour images as planes: three neighbouring images are the channels of one."""
+    soft = images.blur(pictures(spark, sf_dir), 3, 1.0)
+    planes = soft.select(F.floor(F.col("img_id") / 3).alias("img_id"), (F.col("img_id") % 3).cast("int").alias("c"), "h", "w", "pixels")
+    whole = src.merge_planes(src.rgb_planes(planes)).where(F.size("planes") == 3)
+    return whole.select("img_id", *[columns.checksum(F.col("planes")[i]).alias(n) for i, n in enumerate("rgb")])
+
+
 @query
 def resize_bicubic(spark, sf_dir):
     return _sum(images.resize(pictures(spark, sf_dir), 12, 5), "img_id", "h", "w")

@@ -215,6 +215,9 @@ blank AS (SELECT img_id FROM px GROUP BY 1 HAVING min(v) > 128)
 SELECT encoding_id, CAST(a * 4 AS INTEGER) AS dx, CAST(b * 4 AS INTEGER) AS dy, 0 AS sx, 0 AS sy, 0 AS ti, 0.75::DOUBLE AS contrast, 255 AS brightness, 0 AS comp, 4 AS grid FROM enc JOIN blank ON img_id = encoding_id * 2, range(2) r(a), range(2) s(b)""",
     "match_3x1_argmin": f"WITH {px('binary')}, {_match(3)} SELECT encoding_id, CAST(dx AS INTEGER) AS dx, CAST(dy AS INTEGER) AS dy, CAST(src AS INTEGER) AS src, CAST(sx AS INTEGER) AS sx, CAST(sy AS INTEGER) AS sy, CAST(ti AS INTEGER) AS ti, {_LIGHT} AS brightness FROM best",
     "cw_ssim_pair": f"WITH {px()}, {PAIR}, {_wavelets(64, 5)}, src AS (SELECT pair_id, y * 8 + x AS p, a AS m, b AS t FROM pr), {_cw_score('src', 'pair_id', 64, 'sc')} SELECT pair_id, round(s, 6) AS score FROM sc",
+    "wavelet_transform": f"WITH {px()}, {_wavelets(64, 3)} SELECT img_id, CAST(wd AS INTEGER) AS width, CAST(i AS INTEGER) AS p, round(sum(c * v), 6) AS value FROM cw JOIN px ON y * 8 + x = j GROUP BY ALL",
+    "blur_planes": f"""WITH {px()}, {_kernel(blocks.gaussian(3, 1.0).tolist(), 'kg')}, s AS ({_correlated('px', {'s': 'kg'})}), c AS (SELECT img_id // 3 AS img_id, img_id % 3 AS ch, sum(CAST(trunc(s) AS BIGINT) * (y * 8 + x + 1)) AS k FROM s GROUP BY ALL)
+SELECT img_id, CAST(max(k) FILTER (ch = 0) AS BIGINT) AS r, CAST(max(k) FILTER (ch = 1) AS BIGINT) AS g, CAST(max(k) FILTER (ch = 2) AS BIGINT) AS b FROM c GROUP BY img_id HAVING count(*) = 3""",
     "cw_ssim_distinct": f"WITH {px()}, {PAIR}, {_wavelets(64, 2)}, src AS (SELECT pair_id, y * 8 + x AS p, a AS m, b AS t FROM pr), {_cw_score('src', 'pair_id', 64, 'sc')} SELECT pair_id, round(s, 6) AS score FROM sc",
     "ssim_pair": f"""WITH {px()}, {PAIR}, {_kernel(blocks.gaussian(3, 1.0).tolist(), 'kg')},
 c AS (SELECT p.pair_id, p.y, p.x, sum(wt * coalesce(q.a, 255)) AS ux, sum(wt * coalesce(q.b, 255)) AS uy, sum(wt * coalesce(q.a * q.a, 255)) AS sxx, sum(wt * coalesce(q.b * q.b, 255)) AS syy, sum(wt * coalesce(q.a * q.b, 255)) AS sxy
