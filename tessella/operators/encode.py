@@ -210,14 +210,15 @@ def decode_quality(decoded: DataFrame, targets: DataFrame, widths: int = 30) ->
     return both.mapInPandas(run, "encoding_id long, step int, score double")
 
 
-def chunks(df: DataFrame, order: str, n: int) -> DataFrame:
-    """Consecutive slices of n rows in ``order``: adds chunk, from 0.
+def chunks(df: DataFrame, order: str, n: int, buckets: int = 200) -> DataFrame:
+    """Consecutive slices of n rows in the numeric column ``order``: adds chunk, from 0.
 
-    The ranks are taken in sorted partitions and shifted by the sizes of those
-    before, so that no task sees all rows.
+    Approximate quantiles part the rows into buckets; a row's rank is its rank
+    in its bucket and the size of the buckets before.  No task sees all rows.
     """
-    sorted_ = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    own = sorted_.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1)
-    sizes = own.groupBy("_p").count()
-    before = sizes.withColumn("_b", F.sum("count").over(Window.orderBy("_p")) - F.col("count")).select("_p", "_b")  # a row per partition
-    return own.join(F.broadcast(before), "_p").withColumn("chunk", F.floor((F.col("_i") + F.col("_b")) / n)).drop("_p", "_i", "_b")
+    cuts = df.agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 10_000)).first()[0] or []
+    own = df.withColumn("_b", F.size(F.filter(F.lit(sorted(set(cuts))) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(order))))
+    ranked = own.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1)
+    sizes = own.groupBy("_b").count()
+    before = sizes.select("_b", (F.sum("count").over(Window.orderBy("_b")) - F.col("count")).alias("_n"))  # at most ``buckets`` rows
+    return ranked.join(F.broadcast(before), "_b").withColumn("chunk", F.floor((F.col("_i") + F.col("_n")) / n)).drop("_b", "_i", "_n")
