@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -64,3 +65,19 @@ def text_of(c: Column) -> Column:
 def crc32_ids(ids: np.ndarray) -> int:
     """Unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
+
+
+_STATE: dict = {}
+
+
+def worker_state(key: tuple, make):
+    """What the tasks of one operator share in a worker process, such as a tokenizer and its known words.
+
+    Only the operator used last keeps its state, so that the memory of a
+    worker doesn't add up over the stages of a pipeline.
+    """
+    if key not in _STATE:
+        _STATE.clear()
+        gc.collect()
+        _STATE[key] = make()
+    return _STATE[key]

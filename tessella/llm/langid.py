@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, worker_state
 
 UNDETERMINED = "und"
 
@@ -127,7 +127,8 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], params: LangIdParams = La
     sent = docs.sparkSession.sparkContext.broadcast(dicts)  # at most max_langs * dict_bytes
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        langs, sizes = _scorer(sent.value, params)
+        key = ("langid", params, tuple((k, hash(v)) for k, v in sent.value.items()))
+        langs, sizes = worker_state(key, lambda: _scorer(sent.value, params))
         for b in batches:
             rows = [decide(langs, sizes(s), params) if s else (UNDETERMINED, 0.0, True, 0.0) for s in b.pop("_letters")]
             lang, score, reject, margin = zip(*rows, strict=True) if rows else ((),) * 4

@@ -4,7 +4,7 @@ The plan needs the histogram of lengths alone, which has at most one entry per
 length however large the corpus.  Large lengths are rounded up within groups
 of equal cardinality; for these few sizes, fillings (configurations) are
 optimised by column generation; the actual lengths take the places of the
-rounded ones; what room is left, best-fit fills with the small lengths.  All
+rounded ones; what room is left, best fit fills with sets of small lengths.  All
 of this is done on runs of equal bins, never on single documents.  Then every
 document finds its place by its rank among the documents of its length.
 """
@@ -12,18 +12,18 @@ document finds its place by its rank among the documents of its length.
 from __future__ import annotations
 
 import bisect
+import unicodedata
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, text_of
+from .common import save, text_of, worker_state
 
 CAPACITY = 2048
 END_ID = 0
@@ -31,55 +31,140 @@ END_ID = 0
 
 @dataclass(frozen=True)
 class PackParams:
-    """large: lengths over capacity / large are grouped; groups: how many sizes they are rounded to."""
+    """large: lengths over capacity / large are grouped; groups: numbers of
+    sizes to round them to, of which the best is kept."""
 
     capacity: int = CAPACITY
     large: int = 6
-    groups: int = 24
+    groups: tuple[int, ...] = (12, 24, 72)
     rows_per_salt: int = 200_000
-    cached_words: int = 250_000
+    cached_words: int = 400_000
+
+
+# Fixed values of the tokenizer file: how words are parted once letters are small, and the mark of a part's last token.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+_END = "</w>"
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte: printable ones for themselves, the others from 256 on, in order."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(kept)]
+    return {b: b for b in kept} | {b: 256 + i for i, b in enumerate(other)}
 
 
 class WordTokenizer:
-    """ids of whole texts from cached ids of the words between blanks.
+    """Ids of whole texts from kept ids of the words between blanks.
 
-    Exact for tokenizers whose tokens never cross white space and that drop it.
+    For byte-level BPE tokenizers that compose characters, fold white space
+    and letters and part words by _PARTS.  All but the merges is done here on
+    many new words at once; new parts then go through the model.  The words
+    and parts used of late are kept, in two generations.
     """
 
     def __init__(self, path: str, cached_words: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cached_words = cached_words
-        self.cache: dict[str, bytes] = {"": b""}
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        whole = Tokenizer.from_file(path)
+        self.model = Tokenizer(whole.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.split = regex.compile(_PARTS + r"|\n").findall
+        self.letters = _byte_letters()
+        vocab = whole.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(_END)]] = True
+        self.limit = cached_words // 2
+        self.young, self.old = _Known({"": b""}), {}
+        self.young_parts, self.old_parts = {}, {}
+
+    def _learn_parts(self, parts: Iterable[str]) -> None:
+        if len(self.young_parts) > self.limit:
+            self.old_parts, self.young_parts = self.young_parts, {}
+        known, new = self.young_parts, []
+        for p in parts:
+            if p not in known:
+                if (ids := self.old_parts.get(p)) is None:
+                    new.append(p)
+                else:
+                    known[p] = ids
+        for at in range(0, len(new), 4_000):
+            some = new[at : at + 4_000]
+            text = " ".join([p.encode().decode("latin-1").translate(self.letters) for p in some])
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(stops) != len(some):
+                raise ValueError("parts do not end as they should")
+            raw = ids.tobytes()
+            known.update({p: raw[a:z] for p, a, z in zip(some, [0, *stops[:-1]], stops, strict=True)})
+
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            # letters fold one by one, without regard to where a sigma stands
+            text = unicodedata.normalize("NFC", "\n".join(some)).replace("Σ", "σ").lower()
+            parts = self.split(text)
+            distinct = dict.fromkeys(parts)
+            distinct.pop("\n", None)
+            self._learn_parts(distinct)
+            known = self.young_parts
+            out, own = [], []
+            for p in parts:
+                if p == "\n":
+                    out.append(b"".join(own))
+                    own = []
+                else:
+                    own.append(known[p])
+            out.append(b"".join(own))
+            self.young.update(zip(some, out, strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, one bytes object a text."""
-        if len(self.cache) > self.cached_words:
-            self.cache = {"": b""}
-        out, cache = [], self.cache
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            try:
-                out.append(b"".join([cache[w] for w in words]))
-            except KeyError:
-                new = [w for w in dict.fromkeys(words) if w not in cache]
-                for at in range(0, len(new), 10_000):
-                    part = new[at : at + 10_000]
-                    for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                        cache[w] = np.array(e.ids, "<u4").tobytes()
-                out.append(b"".join([cache[w] for w in words]))
+        out: list[bytes] = []
+        for at in range(0, len(texts), 1_000):
+            if len(self.young) > self.limit:
+                self.old, self.young = self.young, _Known({"": b""})
+            known, found, again = self.young, [], []
+            for t in texts[at : at + 1_000]:
+                words = t.replace("\n", " ").split(" ")
+                ids = [known[w] for w in words]
+                if None in ids:
+                    again.append((ids, words))
+                found.append(ids)
+            new = []
+            for w in known.missed:
+                if (ids := self.old.get(w)) is None:
+                    new.append(w)
+                else:
+                    known[w] = ids
+            known.missed = []
+            self._learn(new)
+            for ids, words in again:
+                i = -1
+                for _ in range(ids.count(None)):
+                    i = ids.index(None, i + 1)
+                    ids[i] = known[words[i]]
+            out += map(b"".join, found)
         return out
 
 
-@lru_cache(maxsize=2)
+class _Known(dict):
+    """Ids by word; a word that is new stands with None and is noted."""
+
+    def __init__(self, *a):
+        super().__init__(*a)
+        self.missed: list[str] = []
+
+    def __missing__(self, word: str) -> None:
+        self.missed.append(word)
+        self[word] = None
+
+
 def _tokenizer(path: str, cached_words: int) -> WordTokenizer:
-    """One for all tasks of a worker process, so that they share its words."""
-    return WordTokenizer(path, cached_words)
+    return worker_state(("packing", path, cached_words), lambda: WordTokenizer(path, cached_words))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, p: PackParams = PackParams(), with_ids: bool = False) -> DataFrame:
@@ -113,15 +198,20 @@ def _configurations(sizes: list[int], need: list[int], capacity: int) -> list[tu
     basis = np.array(columns, float).T
     chosen = list(columns)
     want = np.array(need, float)
-    for _ in range(200 + 20 * k):
+    order = np.argsort(sizes, kind="stable")
+    by_size = ascending = np.array(sizes)[order]
+    low = int(ascending[0])
+    for _ in range(100 + 6 * k):
         price = np.linalg.solve(basis.T, np.ones(k))
         # the filling of the highest price: unbounded knapsack over the capacities
         value, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for c in range(min(sizes), capacity + 1):
+        for c in range(low, capacity + 1):
+            fits = order[: np.searchsorted(ascending, c, "right")]
+            worth = value[c - by_size[: len(fits)]] + price[fits]
+            i = int(worth.argmax())
             value[c] = value[c - 1]
-            for i, s in enumerate(sizes):
-                if s <= c and value[c - s] + price[i] > value[c] + 1e-12:
-                    value[c], last[c] = value[c - s] + price[i], i
+            if worth[i] > value[c] + 1e-12:
+                value[c], last[c] = worth[i], fits[i]
         if value[capacity] <= 1 + 1e-9:
             break
         new, c = np.zeros(k, int), capacity
@@ -140,7 +230,14 @@ def _configurations(sizes: list[int], need: list[int], capacity: int) -> list[tu
 
 
 def plan(histogram: dict[int, int], p: PackParams = PackParams()) -> list[tuple[tuple[int, ...], int]]:
-    """Bins that hold every length as often as the histogram says: (lengths, how many such bins)."""
+    """Bins that hold every length as often as the histogram says: (lengths, how many such bins).
+
+    Of the plans with each number of groups, the one with fewest bins.
+    """
+    return min((_plan(histogram, p, g) for g in p.groups), key=lambda bins: sum(n for _, n in bins))
+
+
+def _plan(histogram: dict[int, int], p: PackParams, n_groups: int) -> list[tuple[tuple[int, ...], int]]:
     cap = p.capacity
     left = {n: int(c) for n, c in histogram.items() if c > 0}
     if any(n > cap or n < 1 for n in left):
@@ -155,7 +252,7 @@ def plan(histogram: dict[int, int], p: PackParams = PackParams()) -> list[tuple[
     if total:
         # groups of equal cardinality, longest first, split inside a length if need be
         groups: list[list[list[int]]] = [[]]
-        share, room = -(-total // p.groups), -(-total // p.groups)
+        share, room = -(-total // n_groups), -(-total // n_groups)
         for n in large:
             c = left[n]
             while c:
@@ -211,8 +308,8 @@ def plan(histogram: dict[int, int], p: PackParams = PackParams()) -> list[tuple[
             bisect.insort(rooms, room)
         open_bins[room].append(bins)
 
-    for n in sorted(left, reverse=True):
-        c = left[n]
+    for n in sorted((n for n in left if n > cap // p.large), reverse=True):  # what the fillings left over: best fit
+        c = left.pop(n)
         while c:
             at = bisect.bisect_left(rooms, n)
             if at < len(rooms):  # the fullest bins that have room
@@ -228,7 +325,71 @@ def plan(histogram: dict[int, int], p: PackParams = PackParams()) -> list[tuple[
                 put(room, (held, count - m))
             put(room - each * n, (held + (n,) * each, m))
             c -= each * m
-    return done + [b for v in open_bins.values() for b in v]
+    bins = [(room, *b) for room in sorted(open_bins) for b in open_bins[room]]
+    return done + _fill_up(bins, left, cap)
+
+
+def _fill_up(bins: list[tuple[int, tuple[int, ...], int]], left: dict[int, int], cap: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit of small lengths: every run of equal bins gets the set of them that leaves least room, largest lengths first.
+
+    Which sums the lengths from the k-th on can make is a bit set; a run of
+    bins takes a set as often as lengths last.  What remains fills new bins.
+    """
+    sizes = sorted(left, reverse=True)
+    full = (1 << (cap + 1)) - 1
+    done, sums, known = [], [], None
+
+    def copies(k: int) -> int:
+        return min(left[sizes[k]], 4)
+
+    todo = [(0, (), sum(left.values())), *reversed(bins)]  # the last is taken first; new bins come in the end
+    while todo:
+        room, held, count = todo.pop()
+        if not held:
+            count = sum(left.values())
+            room = cap
+            if not count:
+                continue
+        now = [copies(k) for k in range(len(sizes))]
+        if now != known:
+            if known is not None and any(c == 0 for c in now):
+                sizes = [n for n in sizes if left[n]]
+                now = [copies(k) for k in range(len(sizes))]
+            sums = [1] * (len(sizes) + 1)
+            for k in range(len(sizes) - 1, -1, -1):
+                got, more, part = sums[k + 1], now[k], 1
+                while more:  # copies by powers of two
+                    part = min(part, more)
+                    got |= got << part * sizes[k] & full
+                    more, part = more - part, part * 2
+                sums[k] = got
+            known = now
+        rest = (sums[0] & ((1 << (room + 1)) - 1)).bit_length() - 1
+        if rest <= 0:
+            done.append((held, count))
+            continue
+        chosen: list[tuple[int, int]] = []
+        target = rest
+        for k, n in enumerate(sizes):
+            if not rest:
+                break
+            for j in range(min(now[k], rest // n), -1, -1):
+                if sums[k + 1] >> (rest - j * n) & 1:
+                    if j:
+                        chosen.append((n, j))
+                    rest -= j * n
+                    break
+        m = min(count, *(left[n] // j for n, j in chosen))
+        if not held:  # no more new bins than could be filled
+            m = min(m, -(-sum(n * c for n, c in left.items()) // cap))
+        if held and count > m:
+            todo.append((room, held, count - m))
+        for n, j in chosen:
+            left[n] -= j * m
+        if not held:
+            todo.append((0, (), 0))
+        todo.append((room - target, held + tuple(n for n, j in chosen for _ in range(j)), m))
+    return done
 
 
 def _slots(bins: list[tuple[tuple[int, ...], int]]) -> np.ndarray:

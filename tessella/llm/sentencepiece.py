@@ -20,7 +20,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, worker_state
 
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -410,10 +409,8 @@ class Decoder:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
-    """One encoder for all tasks of a worker process, so that they share its words."""
-    return Encoder(Model.load(path))
+    return worker_state(("sentencepiece", path), lambda: Encoder(Model.load(path)))
 
 
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, text_of
+from .common import save, text_of, worker_state
 from .components import connected_components
 
 WORD_SEED = 42
@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, ``fp`` (signed 64 bit) and ``th`` (hash of the text) of every row; null text is empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_state(("simhash",), dict)  # an earlier stage's words go
         for b in batches:
             yield b.assign(fp=np.array([fingerprint(t) for t in b.pop("text")], np.uint64).view(np.int64))
 

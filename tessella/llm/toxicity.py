@@ -10,6 +10,7 @@ word that was never seen shares n-grams with words that were.
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from array import array
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, worker_state
 
 
 @dataclass(frozen=True)
@@ -170,32 +171,32 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
     return train([r.text for r in data], np.array([r.toxic for r in data], float), p)
 
 
-_SCORER: dict = {}
+class _Scores(dict):
+    """Logit part of each word, the mean over its buckets; the words used of late are kept, in two generations."""
 
+    def __init__(self, model: ToxicityModel, old: dict[str, float]):
+        super().__init__()
+        self.model, self.old = model, old
 
-def _scorer_of(model: ToxicityModel):
-    """One scorer for all tasks of a worker process, so that they share its words."""
-    if model.key not in _SCORER:
-        _SCORER.clear()
-        _SCORER[model.key] = _scorer(model)
-    return _SCORER[model.key]
+    def __missing__(self, word: str) -> float:
+        x = self.old.get(word)
+        if x is None:
+            x = float(self.model.weight[buckets_of(word, self.model.params)].mean())
+        self[word] = x
+        return x
 
 
 def _scorer(model: ToxicityModel):
-    p, weight, cache = model.params, model.weight, {}
+    p, known = model.params, _Scores(model, {})
 
     def score(text: str) -> float:
-        total = 0.0
-        ws = sorted(words_of(text))
-        if len(cache) > p.cached_words:
-            cache.clear()
-        for w in ws:
-            x = cache.get(w)
-            if x is None:
-                x = cache[w] = float(weight[buckets_of(w, p)].mean())
-            total += x
-        z = model.bias + total / (len(ws) + p.zeros)
-        return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
+        nonlocal known
+        if len(known) > p.cached_words // 2:
+            known = _Scores(model, dict(known))
+        words = words_of(text)
+        total = math.fsum([known[w] for w in words])  # the same in whatever order a set has
+        z = model.bias + total / (len(words) + p.zeros)
+        return float(1 / (1 + math.exp(-min(30.0, max(-30.0, z)))))
 
     return score
 
@@ -210,7 +211,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_i
     sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets * 4 bytes
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = _scorer_of(sent.value)
+        f = worker_state(("toxicity", sent.value.key), lambda: _scorer(sent.value))
         for b in batches:
             s = np.array([f(t) for t in b.pop("_text")], float)
             yield b.assign(score=s, predicted=(s >= sent.value.params.threshold).astype(np.int32))
