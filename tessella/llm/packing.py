@@ -38,7 +38,7 @@ class PackParams:
     large: int = 6
     groups: tuple[int, ...] = (12, 24, 72)
     rows_per_salt: int = 200_000
-    cached_words: int = 400_000
+    cached_words: int = 600_000
 
 
 # Fixed values of the tokenizer file: how words are parted once letters are small, and the mark of a part's last token.
@@ -104,9 +104,7 @@ class WordTokenizer:
     def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 20_000):
             some = words[at : at + 20_000]
-            # letters fold one by one, without regard to where a sigma stands
-            text = unicodedata.normalize("NFC", "\n".join(some)).replace("Σ", "σ").lower()
-            parts = self.split(text)
+            parts = self.split("\n".join(some))
             distinct = dict.fromkeys(parts)
             distinct.pop("\n", None)
             self._learn_parts(distinct)
@@ -129,8 +127,10 @@ class WordTokenizer:
                 self.old, self.young = self.young, _Known({"": b""})
             known, found, again = self.young, [], []
             for t in texts[at : at + 1_000]:
+                # letters fold one by one, without regard to where a sigma stands
+                t = unicodedata.normalize("NFC", t).replace("Σ", "σ").lower()
                 words = t.replace("\n", " ").split(" ")
-                ids = [known[w] for w in words]
+                ids = list(map(known.__getitem__, words))
                 if None in ids:
                     again.append((ids, words))
                 found.append(ids)

@@ -196,7 +196,7 @@ def test_plan_holds_everything(hist, groups):
     p = packing.PackParams(capacity=64, groups=(groups,))
     n = check_bins(hist, packing.plan(hist, p), 64)
     low = -(-sum(k * v for k, v in hist.items()) // 64)
-    assert n >= max(low, sum(v for k, v in hist.items() if k > 32)) and n <= 1.3 * low + sum(v for k, v in hist.items() if k > 21) * 0.6 + 3
+    assert max(low, sum(v for k, v in hist.items() if k > 32)) <= n <= 2 * low + 1
 
 
 def test_plan_is_tight():
@@ -233,12 +233,16 @@ def test_packing_rows(spark):
     assert withids.ids[-1] == 0 and len(withids.ids) == withids.length
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=40, deadline=None)
 @given(st.text(st.sampled_from("aAzZ'sStTéÉßΣσİı０Ⅳ½́\x1c\x1e\x85\xa0​　\t\n  .,<|>中🎉"), max_size=40))
 def test_word_tokenizer_is_exact(text):
+    from tokenizers import Tokenizer
+
     path = P.path("word_bpe_49k.json")
-    t = packing._tokenizer(path, 300_000)
-    assert np.frombuffer(t.encode_batch([text])[0], "<u4").tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    got = packing._tokenizer(path, 300_000).encode_batch([text])[0]
+    assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
 # ---- op5
