@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import langid, linededup, packing, simhash, toxicity
 from tessella.llm.common import DOC_COLUMNS, held_out, save
+from tessella.llm.similar import SimilarParams
 from tessella.plans.session import ship
 
 
@@ -40,9 +41,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: links of op5, and of texts with 0.8 of their five-word shingles in common."""
     ship(spark)
-    return simhash.representatives(docs.select(*DOC_COLUMNS))
+    return simhash.representatives(docs.select(*DOC_COLUMNS), similar=SimilarParams())
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

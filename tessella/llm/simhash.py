@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import save, text_of, worker_state
 from .components import connected_components
+from .similar import SimilarParams, hasher
+from .similar import links as similar_links
 
 WORD_SEED = 42
 SHINGLE = 3
@@ -34,40 +36,63 @@ HOT_ENTRY = 256
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, n: int = SHINGLE) -> int:
-    """64-bit SimHash of a text's word shingles, repeats included."""
+def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of a text's word shingles, repeats included; a text of fewer words is one shingle."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()  # splits at bytes 9-13 and 32
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
     start = end - size
     k = min(n, len(words))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter(
+    return np.fromiter(
         [digest(joined[a:b], WORD_SEED) for a, b in zip(start[: len(words) - k + 1].tolist(), end[k - 1 :].tolist(), strict=True)],
         np.uint64,
         len(words) - k + 1,
     )
+
+
+def fingerprint(text: str | None, n: int = SHINGLE) -> int:
+    """64-bit SimHash of a text's word shingles, repeats included."""
+    h = shingles(text, n)
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65_536):  # memory stays bounded for very long texts
         ones += np.unpackbits(h[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, ``fp`` (signed 64 bit) and ``th`` (hash of the text) of every row; null text is empty."""
+def fingerprints(docs: DataFrame, similar: SimilarParams | None = None) -> DataFrame:
+    """doc_id, ``fp`` (signed 64 bit) and ``th`` (hash of the text) of every row; null text is empty.
+
+    With ``similar`` also a hash ``s`` of the set of its shingles, the set's size ``n`` and its ``keys``.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
         worker_state(("simhash",), dict)  # an earlier stage's words go
+        keys = hasher(similar) if similar else None
         for b in batches:
-            yield b.assign(fp=np.array([fingerprint(t) for t in b.pop("text")], np.uint64).view(np.int64))
-
-    text = text_of(F.col("text"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInPandas(run, "doc_id long, th long, fp long")
+            texts = b.pop("text")
+            b = b.assign(fp=np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+            if similar:
+                s, n, k = [], [], []
+                for t in texts:
+                    h = np.unique(shingles(t, similar.words))
+                    s.append(xxhash.xxh64_intdigest(h.tobytes()))
+                    n.append(len(h))
+                    k.append(keys(h).view(np.int64))
+                b = b.assign(s=np.array(s, np.uint64).view(np.int64), n=np.array(n, np.int64), keys=k)
+            yield b
+
+    text, kinds = text_of(F.col("text")), "doc_id long, th long, fp long" + ", s long, n long, keys array<long>" * (similar is not None)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInPandas(run, kinds)
 
 
 _ONE = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -128,31 +153,34 @@ def links(distinct: DataFrame, hot_entry: int = HOT_ENTRY) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _grouped(docs: DataFrame, hot_entry: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, hot_entry: int, similar: SimilarParams | None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, fp) of every row, and (fp, root) of every distinct fingerprint."""
-    fps = save(fingerprints(docs), "simhash-fp")
+    fps = save(fingerprints(docs, similar), "simhash-fp")
     distinct = save(fps.select("fp").distinct(), "simhash-distinct")
     pairs = save(links(distinct, hot_entry), "simhash-links")
+    if similar:
+        pairs = save(pairs.union(similar_links(docs, fps, similar)), "simhash-similar")
     roots = connected_components(pairs).withColumnRenamed("node", "fp")  # only of fingerprints that have links
     return fps, save(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-roots")
 
 
-def near_duplicates(docs: DataFrame, hot_entry: int = HOT_ENTRY) -> DataFrame:
+def near_duplicates(docs: DataFrame, hot_entry: int = HOT_ENTRY, similar: SimilarParams | None = None) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable) of every row.
 
     Null text is empty; empty texts have fingerprint zero and link like any
     other.  Repeated rows keep one result each.  A null doc_id takes part but
-    is never the smallest; a component of only such rows has a null id.
+    is never the smallest; a component of only such rows has a null id.  With
+    ``similar``, texts of so similar shingle sets link too.
     """
-    fps, roots = _grouped(docs, hot_entry)
+    fps, roots = _grouped(docs, hot_entry, similar)
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp")
     ids = save(least, "simhash-least").groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(roots.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, hot_entry: int = HOT_ENTRY) -> DataFrame:
+def representatives(docs: DataFrame, hot_entry: int = HOT_ENTRY, similar: SimilarParams | None = None) -> DataFrame:
     """The rows of ``docs`` with one document of each component: the smallest doc_id (null last), of it the smallest text hash."""
-    fps, roots = _grouped(docs, hot_entry)
+    fps, roots = _grouped(docs, hot_entry, similar)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     best = fps.groupBy("fp").agg(F.min(order).alias("one")).join(roots, "fp").groupBy("root").agg(F.min("one").alias("one"))
     kept = best.select(F.coalesce("one.doc_id", F.lit(0)).alias("_id"), F.col("one.none").alias("_none"), F.col("one.th").alias("_th"))

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessella.llm import ann, common, htmltext, langid, linededup, media, packing, sentencepiece, simhash, toxicity, warc
+from tessella.llm import ann, common, htmltext, langid, linededup, media, packing, sentencepiece, similar, simhash, toxicity, warc
 from tessella.llm.components import connected_components
 
 P = pytest.importorskip("public_tokenizers")
@@ -469,3 +469,34 @@ def test_min_cut_is_minimal(n, r):
 
     best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
     assert cost(htmltext.min_cut(prose, junk, links)) == pytest.approx(best)
+
+
+# ---- near-duplicates of the pipeline
+
+
+def test_similar_texts_link(spark):
+    rng = np.random.default_rng(4)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 5_000, n)]
+    texts = [*ODD]
+    for n in (60, 200, 800):
+        for share in (0.01, 0.02, 0.03, 0.06):
+            for _ in range(4):
+                base = words(n)
+                texts.append(" ".join(base))
+                for k in rng.choice(n, max(1, int(n * share)), replace=False):
+                    base[k] = "other"
+                texts.append(" ".join(base))
+    sets = [set(simhash.shingles(t, 5).tolist()) for t in texts]
+    like = lambda a, b: 9 * len(a & b) >= 4 * (len(a) + len(b)) > 0
+    near = [(i, j) for j in range(len(texts)) for i in range(j) if like(sets[i], sets[j])]
+    fps = [simhash.fingerprint(t) for t in texts]
+    assert sum((fps[i] ^ fps[j]).bit_count() > 2 for i, j in near) > 10  # op5 does not link these
+    p = similar.SimilarParams()
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, texts), similar=p).collect()}
+    assert all(got[i] == got[j] for i, j in near)
+    apart = [(i, i + 1) for i in range(len(ODD), len(texts), 2) if (i, i + 1) not in near and (fps[i] ^ fps[i + 1]).bit_count() > 2]
+    assert apart and all(got[i] != got[j] for i, j in apart)
+    import corpus_pipeline
+
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(spark, texts), "").collect()} == set(got.values())
+    assert simhash.near_duplicates(docs(spark, []), similar=p).count() == 0
