@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 from .common import text_of, worker_state
 
 
+#: Words of more letters than this are cut into n-grams in arrays.
+LONG_WORD = 4_096
+
+
 @dataclass(frozen=True)
 class ToxicityParams:
     """toxic_rows, clean_rows and max_chars bound the labelled sample; zeros: how many zero
@@ -71,12 +75,27 @@ def words_of(text: str) -> set[str]:
         return set(_word.findall(text.lower()))
 
 
-def buckets_of(word: str, p: ToxicityParams) -> list[int]:
-    s = f"<{word[:64]}>"
+def buckets_of(word: str, p: ToxicityParams) -> list[int] | array:
+    """Buckets of the whole word and of its distinct n-grams; runs without blanks can be as long as a text."""
+    s = f"<{word}>"
+    if len(s) > LONG_WORD:
+        return _buckets_of_long(s, p)
     grams = {s} | {s[i : i + n] for n in range(p.n_min, p.n_max + 1) for i in range(len(s) - n + 1)}
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % p.buckets for g in sorted(grams)]
 
 
+def _buckets_of_long(s: str, p: ToxicityParams) -> array:
+    """The same in arrays, one n at a time and in blocks, so that memory is a few dozen bytes a letter."""
+    letters = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4")
+    out = array("i", [zlib.crc32(s.encode("utf-8", "surrogatepass")) % p.buckets])
+    for n in range(p.n_min, p.n_max + 1):
+        grams = np.unique(np.lib.stride_tricks.sliding_window_view(letters, n), axis=0)
+        for at in range(0, len(grams), LONG_WORD):
+            text = grams[at : at + LONG_WORD].tobytes().decode("utf-32-le", "surrogatepass")
+            out.extend(zlib.crc32(text[i : i + n].encode("utf-8", "surrogatepass")) % p.buckets for i in range(0, len(text), n))
+    return out
+
+
 def train(texts: list[str], labels: np.ndarray, p: ToxicityParams = ToxicityParams()) -> ToxicityModel:
     """Full-batch Adam on the cross entropy; the toxic texts together weigh toxic_weight.
 

@@ -434,6 +434,20 @@ def test_toxicity(spark):
     assert toxicity._scorer(toxicity.train(["a", "b"], np.array([1, 1]), p))("a") > 0.9
 
 
+def test_toxicity_reads_whole_words():
+    p = toxicity.ToxicityParams()
+    for word in ("ab" * 60 + "gruzzlef", "".join(chr(0x4E00 + i * 7 % 900) for i in range(6_000)) + "🎉"):
+        s = f"<{word}>"
+        grams = {s} | {s[i : i + n] for n in range(p.n_min, p.n_max + 1) for i in range(len(s) - n + 1)}
+        assert sorted(toxicity.buckets_of(word, p)) == sorted(zlib.crc32(g.encode()) % p.buckets for g in grams)
+    weight = np.zeros(p.buckets, np.float32)
+    weight[zlib.crc32("毒毒".encode()) % p.buckets] = 1_000
+    f = toxicity._scorer(toxicity.ToxicityModel(weight, -5.0, p))
+    for n in (10, 100, 5_000):
+        clean = "".join(chr(0x5000 + i % 200) for i in range(n))
+        assert f(clean + "毒毒") > f(clean)
+
+
 # ---- op10
 
 PAGES = {
