@@ -4,7 +4,8 @@ The tree is fitted on a bounded sample: every node splits its vectors by
 k-means until a leaf is small.  Every row is indexed in one leaf.  A query
 walks the tree best bin first: a priority queue holds the branches not taken,
 and the nearest is opened next, until so many leaves are visited as calibrated
-queries needed for the recall that is asked for.  Inner products become
+queries needed for the recall that is asked for and they hold k rows or all
+there are.  Inner products become
 distances by one more component, sqrt(M^2 - |x|^2), with M the largest norm of
 all rows.
 """
@@ -113,15 +114,19 @@ def leaf_of(tree: Tree, x: np.ndarray) -> np.ndarray:
             at[rows] = first + ((c * c).sum(1) - 2 * y[rows] @ c.T).argmin(1)
 
 
-def leaves_of(tree: Tree, q: np.ndarray, visits: int) -> list[int]:
-    """The first ``visits`` leaves in best-bin-first order for one query."""
+def leaves_of(tree: Tree, q: np.ndarray, visits: int, held: np.ndarray | None = None, need: int = 0) -> list[int]:
+    """The first ``visits`` leaves in best-bin-first order for one query, and more until they hold ``need`` rows.
+
+    ``held``: rows of each leaf.
+    """
     y = np.append(q, 0.0)
-    queue, out = [(0.0, 0)], []
-    while queue and len(out) < visits:
+    queue, out, rows = [(0.0, 0)], [], 0
+    while queue and (len(out) < visits or rows < need):
         _, node = heapq.heappop(queue)
         first, n = tree.child[node]
         if not n:
             out.append(int(tree.leaf[node]))
+            rows += 0 if held is None else int(held[out[-1]])
             continue
         c = tree.centre[first : first + n] - y
         for d, i in zip((c * c).sum(1).tolist(), range(first, first + n), strict=True):
@@ -235,10 +240,14 @@ def search(vectors: DataFrame, is_query: Column, p: AnnParams = AnnParams()) ->
     if not some:
         return empty
     visits = calibrate(tree, index, [(r.query_id, np.array(r.v, float)) for r in some], p)
+    held = np.zeros(tree.leaves, np.int64)
+    for r in index.groupBy("leaf").count().collect():  # at most as many as leaves
+        held[r.leaf] = r["count"]
+    own = index.groupBy("vec_id").count().agg(F.max("count")).first()[0]  # rows of one id, which are none of its neighbours
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["leaf"] = [leaves_of(sent.value, np.asarray(v, float), visits) for v in b["v"]]
+            b["leaf"] = [leaves_of(sent.value, np.asarray(v, float), visits, held, p.k + own) for v in b["v"]]
             yield b
 
     routes = save(asked.mapInPandas(walk, f"query_id long, v {kind}, leaf array<int>"), "ann-routes").withColumn("leaf", F.explode("leaf"))

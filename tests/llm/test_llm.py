@@ -334,6 +334,16 @@ def test_ann(spark):
     assert ann.search(df.limit(0), F.col("vec_id") == 0, p).count() == 0
 
 
+def test_ann_finds_k_in_thin_leaves(spark):
+    rng = np.random.default_rng(3)
+    groups = np.repeat(rng.normal(size=(40, 8)), 60, axis=0)
+    x = np.concatenate([groups, 6 * rng.normal(size=(40, 8))]).astype(np.float32)
+    rows = [(i * 20 if i >= len(groups) else i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.search(df, F.col("vec_id") % 20 == 0, ann.AnnParams(sample_rows=2_500, leaf_rows=10, recall=0.5)).groupBy("query_id").count().collect()
+    assert {r["count"] for r in got} == {20} and len(got) == 120 + 40
+
+
 # ---- op7
 
 
