@@ -32,13 +32,16 @@ END_ID = 0
 @dataclass(frozen=True)
 class PackParams:
     """large: lengths over capacity / large are grouped; groups: numbers of
-    sizes to round them to, of which the best is kept."""
+    sizes to round them to, of which the best is kept.  added_tokens: the
+    tokenizer's added tokens in a text are taken whole, as its library does
+    unless encode_special_tokens is set."""
 
     capacity: int = CAPACITY
     large: int = 6
     groups: tuple[int, ...] = (12, 24, 72)
     rows_per_salt: int = 200_000
     cached_words: int = 600_000
+    added_tokens: bool = False
 
 
 # Fixed values of the tokenizer file: how words are parted once letters are small, and the mark of a part's last token.
@@ -59,10 +62,11 @@ class WordTokenizer:
     For byte-level BPE tokenizers that compose characters, fold white space
     and letters and part words by _PARTS.  All but the merges is done here on
     many new words at once; new parts then go through the model.  The words
-    and parts used of late are kept, in two generations.
+    and parts used of late are kept, in two generations.  With ``added_tokens``
+    texts are parted at the tokenizer's added tokens before all else.
     """
 
-    def __init__(self, path: str, cached_words: int):
+    def __init__(self, path: str, cached_words: int, added_tokens: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,6 +78,11 @@ class WordTokenizer:
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.split = regex.compile(_PARTS + r"|\n").findall
         self.letters = _byte_letters()
+        added = whole.get_added_tokens_decoder() if added_tokens else {}
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens that are not plain strings")
+        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
+        self.part = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split
         vocab = whole.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(_END)]] = True
@@ -121,6 +130,14 @@ class WordTokenizer:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, one bytes object a text."""
+        parted = {i: self.part(t) for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        if not parted:
+            return self._encode(texts)
+        plain = iter(self._encode([x for i, t in enumerate(texts) for x in (parted[i][::2] if i in parted else [t])]))
+        # between two plain pieces stands an added token
+        return [b"".join([self.added[x] if k % 2 else next(plain) for k, x in enumerate(parted[i])]) if i in parted else next(plain) for i in range(len(texts))]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(texts), 1_000):
             if len(self.young) > self.limit:
@@ -163,8 +180,8 @@ class _Known(dict):
         self[word] = None
 
 
-def _tokenizer(path: str, cached_words: int) -> WordTokenizer:
-    return worker_state(("packing", path, cached_words), lambda: WordTokenizer(path, cached_words))
+def _tokenizer(path: str, cached_words: int, added_tokens: bool = False) -> WordTokenizer:
+    return worker_state(("packing", path, cached_words, added_tokens), lambda: WordTokenizer(path, cached_words, added_tokens))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, p: PackParams = PackParams(), with_ids: bool = False) -> DataFrame:
@@ -175,7 +192,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, p: PackParams = PackParams(), w
     cut, end = 4 * p.capacity, np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = _tokenizer(tokenizer_path, p.cached_words)
+        tok = _tokenizer(tokenizer_path, p.cached_words, p.added_tokens)
         for b in batches:
             rows = []
             for d, ids in zip(b["doc_id"], tok.encode_batch(b["text"].tolist()), strict=True):

@@ -77,7 +77,7 @@ FROM split s LEFT JOIN kept USING (doc_id)
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), packing.PackParams(added_tokens=True))
 
 
 @query

@@ -245,6 +245,20 @@ def test_word_tokenizer_is_exact(text):
     assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_whole(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tessella.llm.queries import QUERIES
+
+    whole = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    texts = [*ODD, "hello <|endoftext|> world", "A<|startoftext|><|endoftext|>b", "don<|endoftext|>'t", "e<|endoftext|>\u0301x <|ENDOFTEXT|> <|endoftext|", "<|<|endoftext|>|>\n"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in QUERIES["op4_packing"](spark, str(tmp_path)).where("piece = 0").collect()}
+    for i, t in enumerate(texts):
+        ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        assert got[i] == (min(2048, len(ids)), zlib.crc32(ids[:2048].tobytes()))
+
+
 # ---- op5
 
 
