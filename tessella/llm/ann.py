@@ -134,9 +134,12 @@ def leaves_of(tree: Tree, q: np.ndarray, visits: int, held: np.ndarray | None =
     return out
 
 
-def _best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best: highest score, then smallest id; products that differ only in rounding are ties."""
-    s = np.round(score, 12)
+def _best(ids: np.ndarray, score: np.ndarray, k: int, unit: np.ndarray) -> np.ndarray:
+    """Positions of the k best: highest score, then smallest id; products that differ only in rounding are ties.
+
+    ``unit``: product of the norms of each row and the query.
+    """
+    s = np.round(score / unit, 12) * unit
     if len(s) > 4 * k:
         some = np.nonzero(s >= np.partition(s, len(s) - k)[len(s) - k])[0]
         return some[np.lexsort((ids[some], -s[some]))[:k]]
@@ -156,12 +159,14 @@ def _compare(k: int):
         if len(rows) and len(queries):
             x = np.stack(rows["v"].to_numpy()).astype(np.float64)
             ids = rows["vec_id"].to_numpy(np.int64)
+            norm = np.linalg.norm(x, axis=1)
             for at in range(0, len(queries), 256):
                 part = queries.iloc[at : at + 256]
                 q = np.stack(part["v"].to_numpy()).astype(np.float64)
                 for qid, one, s in zip(part["query_id"].tolist(), q, q @ x.T, strict=True):
                     s[ids == qid] = -np.inf
-                    best = _best(ids, s, k)
+                    unit = norm * np.linalg.norm(one)
+                    best = _best(ids, s, k, np.where(unit > 0, unit, 1.0))
                     best = best[ids[best] != qid]
                     qids.append(np.full(len(best), qid))
                     found.append(ids[best])

@@ -358,6 +358,13 @@ def test_ann_finds_k_in_thin_leaves(spark):
     assert {r["count"] for r in got} == {20} and len(got) == 120 + 40
 
 
+def test_ann_tells_small_vectors_apart():
+    x = 1e-6 * np.random.default_rng(0).normal(size=(200, 8))
+    rows = pd.DataFrame({"vec_id": range(200), "v": list(x)})
+    got = ann._compare(20)(rows, pd.DataFrame({"query_id": [1_000], "v": [x[0]]}))
+    assert got.vec_id.tolist() == np.argsort(-(x @ x[0]))[:20].tolist()
+
+
 # ---- op7
 
 
