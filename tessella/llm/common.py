@@ -67,6 +67,30 @@ def crc32_ids(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """``spark``, sending Python workers batches of few rows and bytes, so that their memory doesn't follow the length of texts."""
+    for name, most in (("maxRecordsPerBatch", 2_000), ("maxBytesPerBatch", 8 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        held = int(spark.conf.get(key).rstrip("b"))
+        if held <= 0 or held > most:
+            spark.conf.set(key, str(most))
+    return spark
+
+
+def release() -> None:
+    """Give a worker process's free memory back to the system; else it keeps the most it ever held."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 _STATE: dict = {}
 
 
@@ -78,6 +102,6 @@ def worker_state(key: tuple, make):
     """
     if key not in _STATE:
         _STATE.clear()
-        gc.collect()
+        release()
         _STATE[key] = make()
     return _STATE[key]

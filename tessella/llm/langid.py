@@ -1,9 +1,11 @@
 """Language identification by compression with per-language dictionaries.
 
-A text is encoded once with each language's zstandard raw-content dictionary;
-the language whose dictionary gives the fewest bytes is chosen.  Texts are cut
-into blocks, so that a long text meets the dictionary again and again instead
-of only its own past.  Every block of every text counts.
+A text is encoded with each language's zstandard raw-content dictionary; the
+language whose dictionary gives the fewest bytes is chosen.  Texts are cut into
+blocks, so that a long text meets the dictionary again and again instead of
+only its own past, and every block follows a primer, a piece of the dictionary
+whose own size is taken off: without one, zstandard stores short blocks as they
+are.  Every block of every text counts, short texts and long ones alike.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, worker_state
+from .common import bounded, release, text_of, worker_state
 
 UNDETERMINED = "und"
 
@@ -25,20 +27,20 @@ UNDETERMINED = "und"
 class LangIdParams:
     """dict_bytes and rows_per_lang bound the labelled sample that is fitted.
 
-    block_chars: texts are compressed in blocks of so many characters.
-    short_bytes, primer_bytes: a shorter text follows a piece of the
-    dictionary, without which zstandard would store it as it is.
-    margin_bytes: a text is rejected if its best two languages are closer.
+    group: languages whose dictionaries are fitted and sent together; more
+    languages are several groups.  block_chars: texts are compressed in blocks
+    of so many characters.  A text is rejected if its two best languages are
+    closer than margin_bytes, or than margin_share of the smaller size.
     """
 
     dict_bytes: int = 32_768
     rows_per_lang: int = 200
-    max_langs: int = 256
+    group: int = 256
     block_chars: int = 1_024
     level: int = 6
-    short_bytes: int = 300
     primer_bytes: int = 256
     margin_bytes: float = 1.0
+    margin_share: float = 0.02
 
 
 def letters(text: Column) -> Column:
@@ -47,23 +49,28 @@ def letters(text: Column) -> Column:
 
 
 def fit(docs: DataFrame, params: LangIdParams = LangIdParams()) -> dict[str, bytes]:
-    """Dictionaries from ``text`` and non-null ``lang``.
+    """Dictionaries from ``text`` and non-null ``lang``, the language with most rows first (ties: by name).
 
     The sample: of each language the rows_per_lang rows whose id hashes lowest
     (Spark prunes this rank before its shuffle), then whole texts up to
-    dict_bytes.  Ties and repeated rows are ordered by the text's hash.  At
-    most max_langs languages are kept, those with most rows.
+    dict_bytes.  Ties and repeated rows are ordered by the text's hash.  A
+    language without any letter has no dictionary.
     """
     rows = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.max_langs).collect()]
-    if not langs:
-        return {}
+    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]  # a row for each language
+    made: dict[str, bytes] = {}
+    for at in range(0, len(langs), params.group):
+        made |= _fit_some(rows, langs[at : at + params.group], params)
+    return made
+
+
+def _fit_some(rows: DataFrame, langs: list[str], params: LangIdParams) -> dict[str, bytes]:
     # ranks of ids and hashes alone; Spark cuts each task's rows to rows_per_lang before the shuffle
     hashed = rows.where(F.col("lang").isin(langs)).withColumn("h", F.xxhash64("doc_id")).withColumn("t", F.xxhash64("text"))
     by_hash = Window.partitionBy("lang").orderBy("h", "t")
     chosen = hashed.select("lang", "h", "t").withColumn("rn", F.row_number().over(by_hash)).where(F.col("rn") <= params.rows_per_lang)
     sample = (
-        hashed.join(F.broadcast(chosen.drop("rn").distinct()), ["lang", "h", "t"], "left_semi")  # at most max_langs * rows_per_lang rows
+        hashed.join(F.broadcast(chosen.drop("rn").distinct()), ["lang", "h", "t"], "left_semi")  # at most group * rows_per_lang rows
         .select("lang", "h", "t", F.substring(letters(F.col("text")), 1, params.dict_bytes).alias("s"))
         .dropDuplicates(["lang", "h", "t"])
     )
@@ -77,41 +84,40 @@ def fit(docs: DataFrame, params: LangIdParams = LangIdParams()) -> dict[str, byt
     return {k: v for k, v in made.items() if v.strip()}
 
 
-def _scorer(dicts: dict[str, bytes], params: LangIdParams):
+def sizer(contents: list[bytes], params: LangIdParams = LangIdParams()):
+    """Function from a text's letters to its size in bytes under each dictionary."""
     import zstandard as zstd
 
-    plain = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
-    coders, primers, base = [], [], []
-    for content in dicts.values():
+    coders = []
+    for content in contents:
         d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(level=params.level)
-        coders.append(zstd.ZstdCompressor(dict_data=d, **plain))
+        c = zstd.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
         at = len(content) // 16
-        primers.append(content[at : at + params.primer_bytes] + b" ")
-        base.append(len(coders[-1].compress(primers[-1])))
+        primer = content[at : at + params.primer_bytes] + b" "
+        coders.append((c.compress, primer, len(c.compress(primer))))
 
     def sizes(s: str) -> list[int]:
-        if len(b := s.encode()) < params.short_bytes:
-            return [len(c.compress(p + b)) - n for c, p, n in zip(coders, primers, base, strict=True)]
         out = [0] * len(coders)
         for at in range(0, len(s), params.block_chars):
             b = s[at : at + params.block_chars].encode()
-            for i, c in enumerate(coders):
-                out[i] += len(c.compress(b))
+            for i, (compress, primer, own) in enumerate(coders):
+                out[i] += len(compress(primer + b)) - own
         return out
 
-    return list(dicts), sizes
+    return sizes
 
 
-def decide(names: list[str], sizes: list[int], params: LangIdParams) -> tuple[str, float, bool, float]:
-    """Language, score, rejected, margin in bytes.  Equal sizes: the language with most rows."""
+def decide(names: list[str], sizes: Column, params: LangIdParams = LangIdParams()) -> dict[str, Column]:
+    """lang_pred, score, rejected and margin in bytes from the array of sizes.  Equal sizes: the first name."""
+    least = F.array_min(sizes)
+    lang = F.element_at(F.array(*[F.lit(n) for n in names]), F.array_position(sizes, least).cast("int"))
     if len(names) == 1:
-        return names[0], 1.0, False, float(params.margin_bytes)
-    a = np.asarray(sizes, float)
-    i = int(a.argmin())
-    margin = float(np.delete(a, i).min() - a[i])
-    score = float(1.0 / np.exp2(-np.minimum((a - a[i]) / 4.0, 500)).sum())
-    return names[i], score, margin < params.margin_bytes, margin
+        return {"lang_pred": lang, "score": F.lit(1.0), "rejected": F.lit(False), "margin": F.lit(float(params.margin_bytes))}
+    margin = (F.array_sort(sizes)[1] - least).cast("double")
+    share = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + F.pow(F.lit(2.0), -F.least((x - least) / 4.0, F.lit(500.0))))
+    close = (margin < params.margin_bytes) | (margin < params.margin_share * least)
+    return {"lang_pred": lang, "score": 1.0 / share, "rejected": close, "margin": margin}
 
 
 def identify(docs: DataFrame, dicts: dict[str, bytes], params: LangIdParams = LangIdParams(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -119,19 +125,30 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], params: LangIdParams = La
 
     Null text, or one without letters: ``und``, score 0, rejected.  The same
     without any dictionary.  Repeated rows give repeated results; other columns
-    of ``docs`` are not looked at.
+    of ``docs`` are not looked at.  Texts stay in the JVM; Python gets their
+    letters and returns sizes.
     """
-    names = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    nothing = {"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0), "rejected": F.lit(True), "margin": F.lit(0.0)}
     if not dicts:
-        return docs.select(*keep, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"), F.lit(0.0).alias("margin"))
-    sent = docs.sparkSession.sparkContext.broadcast(dicts)  # at most max_langs * dict_bytes
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = ("langid", params, tuple((k, hash(v)) for k, v in sent.value.items()))
-        langs, sizes = worker_state(key, lambda: _scorer(sent.value, params))
-        for b in batches:
-            rows = [decide(langs, sizes(s), params) if s else (UNDETERMINED, 0.0, True, 0.0) for s in b.pop("_letters")]
-            lang, score, reject, margin = zip(*rows, strict=True) if rows else ((),) * 4
-            yield b.assign(lang_pred=list(lang), score=list(score), rejected=list(reject), margin=list(margin))
-
-    return docs.select(*keep, letters(F.col("text")).alias("_letters")).mapInPandas(run, f"{names}, lang_pred string, score double, rejected boolean, margin double")
+        return docs.select(*keep, *[c.alias(k) for k, c in nothing.items()])
+    spark, names = bounded(docs.sparkSession), list(dicts)
+
+    def measured(group: list[str]) -> Column:
+        sent = spark.sparkContext.broadcast([dicts[k] for k in group])  # at most group * dict_bytes
+
+        @F.pandas_udf("array<int>")
+        def sizes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            key = ("langid", params, tuple(map(hash, sent.value)))
+            f = worker_state(key, lambda: sizer(sent.value, params))
+            for b in batches:
+                yield pd.Series([np.array(f(s), np.int32) for s in b], dtype=object)
+            release()
+
+        return sizes.asNondeterministic()(F.col("_letters"))  # once a row, whatever is asked of it
+
+    groups = [names[at : at + params.group] for at in range(0, len(names), params.group)]
+    out = docs.select(*keep, letters(F.col("text")).alias("_letters"))
+    out = out.select(*keep, (F.col("_letters") != "").alias("_any"), *[measured(g).alias(f"_s{i}") for i, g in enumerate(groups)])
+    out = out.select(*keep, "_any", F.concat(*[F.col(f"_s{i}") for i in range(len(groups))]).alias("_sizes"))
+    said = decide(names, F.col("_sizes"), params)
+    return out.select(*keep, *[F.when(F.col("_any"), c).otherwise(nothing[k]).alias(k) for k, c in said.items()])

@@ -23,25 +23,27 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, text_of, worker_state
+from .common import bounded, release, save, text_of, worker_state
 
 CAPACITY = 2048
 END_ID = 0
+#: Letters of texts that are worked on at once, and of the longest words that are remembered: memory follows no text's words.
+BLOCK = 1_000_000
+CACHED_LETTERS = 48
 
 
 @dataclass(frozen=True)
 class PackParams:
     """large: lengths over capacity / large are grouped; groups: numbers of
-    sizes to round them to, of which the best is kept.  added_tokens: the
-    tokenizer's added tokens in a text are taken whole, as its library does
-    unless encode_special_tokens is set."""
+    sizes to round them to, of which the best is kept.  rows_per_salt: rows of
+    one length that are ranked together, about.  cached_words: what a worker
+    keeps of the words of up to CACHED_LETTERS letters it met."""
 
     capacity: int = CAPACITY
     large: int = 6
     groups: tuple[int, ...] = (12, 24, 72)
-    rows_per_salt: int = 200_000
-    cached_words: int = 600_000
-    added_tokens: bool = False
+    rows_per_salt: int = 512
+    cached_words: int = 360_000
 
 
 # Fixed values of the tokenizer file: how words are parted once letters are small, and the mark of a part's last token.
@@ -62,11 +64,11 @@ class WordTokenizer:
     For byte-level BPE tokenizers that compose characters, fold white space
     and letters and part words by _PARTS.  All but the merges is done here on
     many new words at once; new parts then go through the model.  The words
-    and parts used of late are kept, in two generations.  With ``added_tokens``
-    texts are parted at the tokenizer's added tokens before all else.
+    and parts used of late are kept, in two generations.  The tokenizer's added
+    tokens are taken whole, before all else.
     """
 
-    def __init__(self, path: str, cached_words: int, added_tokens: bool = False):
+    def __init__(self, path: str, cached_words: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,11 +80,11 @@ class WordTokenizer:
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.split = regex.compile(_PARTS + r"|\n").findall
         self.letters = _byte_letters()
-        added = whole.get_added_tokens_decoder() if added_tokens else {}
+        added = whole.get_added_tokens_decoder()
         if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
             raise ValueError("added tokens that are not plain strings")
         self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
-        self.part = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split
+        self.part = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if added else None
         vocab = whole.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(_END)]] = True
@@ -127,6 +129,9 @@ class WordTokenizer:
                     own.append(known[p])
             out.append(b"".join(own))
             self.young.update(zip(some, out, strict=True))
+            for p in distinct:
+                if len(p) > CACHED_LETTERS:
+                    del known[p]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, one bytes object a text."""
@@ -139,11 +144,13 @@ class WordTokenizer:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for at in range(0, len(texts), 1_000):
+        size = np.cumsum([len(t) for t in texts])
+        cuts = [0, *(np.flatnonzero(np.diff(size // BLOCK)) + 1).tolist(), len(texts)]
+        for at, end in zip(cuts[:-1], cuts[1:], strict=True):
             if len(self.young) > self.limit:
                 self.old, self.young = self.young, _Known({"": b""})
             known, found, again = self.young, [], []
-            for t in texts[at : at + 1_000]:
+            for t in texts[at:end]:
                 # letters fold one by one, without regard to where a sigma stands
                 t = unicodedata.normalize("NFC", t).replace("Σ", "σ").lower()
                 words = t.replace("\n", " ").split(" ")
@@ -165,6 +172,9 @@ class WordTokenizer:
                     i = ids.index(None, i + 1)
                     ids[i] = known[words[i]]
             out += map(b"".join, found)
+            for w in new:
+                if len(w) > CACHED_LETTERS:
+                    del known[w]
         return out
 
 
@@ -180,8 +190,8 @@ class _Known(dict):
         self[word] = None
 
 
-def _tokenizer(path: str, cached_words: int, added_tokens: bool = False) -> WordTokenizer:
-    return worker_state(("packing", path, cached_words, added_tokens), lambda: WordTokenizer(path, cached_words, added_tokens))
+def _tokenizer(path: str, cached_words: int) -> WordTokenizer:
+    return worker_state(("packing", path, cached_words), lambda: WordTokenizer(path, cached_words))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, p: PackParams = PackParams(), with_ids: bool = False) -> DataFrame:
@@ -189,10 +199,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, p: PackParams = PackParams(), w
 
     Null text is empty; an empty text is the end id alone.
     """
+    bounded(docs.sparkSession)
     cut, end = 4 * p.capacity, np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = _tokenizer(tokenizer_path, p.cached_words, p.added_tokens)
+        tok = _tokenizer(tokenizer_path, p.cached_words)
         for b in batches:
             rows = []
             for d, ids in zip(b["doc_id"], tok.encode_batch(b["text"].tolist()), strict=True):
@@ -203,6 +214,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, p: PackParams = PackParams(), w
             names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
             out = pd.DataFrame(rows, columns=names)
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+        release()
 
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text")).mapInPandas(run, kinds)
@@ -434,10 +446,11 @@ def pack(parts: DataFrame, p: PackParams = PackParams()) -> DataFrame:
     spark = parts.sparkSession
     hist = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     slots = spark.sparkContext.broadcast(_slots(plan(hist, p)))
-    salts = max(1, -(-sum(hist.values()) // p.rows_per_salt))
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")
+    # a length that many pieces have is dealt out by as many salts as its count asks for
+    salts = spark.createDataFrame([(n, -(-c // p.rows_per_salt)) for n, c in hist.items()], "length long, salts long")
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts")
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    salted = parts.withColumn("salt", salt)
+    salted = parts.join(F.broadcast(salts), "length").withColumn("salt", salt).select(*parts.columns, "salt")  # at most capacity rows
     counts = salted.groupBy("length", "salt").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")
     ranked = salted.withColumn("rn", F.row_number().over(own)).join(counts.select("length", "salt", before.alias("before")), ["length", "salt"])

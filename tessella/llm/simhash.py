@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, text_of, worker_state
+from .common import bounded, release, save, text_of, worker_state
 from .components import connected_components
 from .similar import SimilarParams, hasher
 from .similar import links as similar_links
@@ -49,11 +49,8 @@ def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     start = end - size
     k = min(n, len(words))
     digest = xxhash.xxh64_intdigest
-    return np.fromiter(
-        [digest(joined[a:b], WORD_SEED) for a, b in zip(start[: len(words) - k + 1].tolist(), end[k - 1 :].tolist(), strict=True)],
-        np.uint64,
-        len(words) - k + 1,
-    )
+    del words
+    return np.fromiter((digest(joined[a:b], WORD_SEED) for a, b in zip(start[: len(start) - k + 1].tolist(), end[k - 1 :].tolist(), strict=True)), np.uint64, len(start) - k + 1)
 
 
 def fingerprint(text: str | None, n: int = SHINGLE) -> int:
@@ -62,7 +59,7 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 65_536):  # memory stays bounded for very long texts
+    for at in range(0, len(h), 65_536):  # a block's bits at a time; the digests are 8 bytes a word
         ones += np.unpackbits(h[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
 
@@ -90,7 +87,9 @@ def fingerprints(docs: DataFrame, similar: SimilarParams | None = None) -> DataF
                     k.append(keys(h).view(np.int64))
                 b = b.assign(s=np.array(s, np.uint64).view(np.int64), n=np.array(n, np.int64), keys=k)
             yield b
+        release()
 
+    bounded(docs.sparkSession)
     text, kinds = text_of(F.col("text")), "doc_id long, th long, fp long" + ", s long, n long, keys array<long>" * (similar is not None)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInPandas(run, kinds)
 

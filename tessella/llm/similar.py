@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, text_of
+from .common import release, save, text_of
 from .components import connected_components
 
 
@@ -82,6 +82,7 @@ def links(docs: DataFrame, marked: DataFrame, p: SimilarParams) -> DataFrame:
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(h=[np.unique(shingles(t, p.words)).view(np.int64) for t in b.pop("text")])
+        release()
 
     found = raw.join(asked, ["_id", "_none", "_th"]).select("s", "text").mapInPandas(sets, "s long, h array<long>")
     whole = save(found.dropDuplicates(["s"]), "similar-hashes", "zstd")
