@@ -7,6 +7,12 @@ one another, and blocks of one parent, are joined by smoothness edges that
 grow with their closeness in the tree.  The maximum flow separates content
 from boilerplate.  Blocks in elements that are no prose by their own meaning
 (menus, footers, forms, scripts, ...) have a prohibitive cost.
+
+The classifier is linear in a block's features: words, share of link text, kind
+of element, and what the names around it hint at.  No labelled pages exist, so
+its weights (WEIGHTS) are set by hand.  Names that mean a place that is no part
+of an article (an advert, a comment) weigh more than any prose; names that only
+hint at one (social, legal) give way to prose of some twenty words.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import bounded, release, text_of
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -35,19 +41,25 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
 _CLOSES_P = _BLOCK - frozenset("body head html caption dd dt figcaption legend li summary tbody td tfoot th thead tr".split())
 _NEVER = frozenset("nav footer aside form select button menu dialog input label option head fieldset".split())
 _GOOD = frozenset("article main".split())
-_BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|footer|foot|header|masthead|topbar|sidebar|side|aside|widget|cookie\w*|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comment|comments|commentlist|disqus|reply|respond|toolbar|pagination|pager|skip|legal|copyright|disclaimer|tags|hidden)(?=$|[\s_-])", re.I)
+_BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|footer|header|masthead|topbar|sidebar|widget|cookie\w*|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|related|recommend\w*|comment|comments|commentlist|disqus|reply|respond|pagination|pager|hidden)(?=$|[\s_-])", re.I)
+_WEAK_NAME = re.compile(r"(?:^|[\s_-])(?:foot|side|aside|share|sharing|social|toolbar|skip|legal|copyright|disclaimer|tags)(?=$|[\s_-])", re.I)
 _HEADS = frozenset(("header", "masthead"))  # inside an article they hold its title
 _GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|content|entry|post|story|body|main|text)(?=$|[\s_-])", re.I)
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NEVER = 1e6
 _EPS = 1e-9
+#: Cost of calling a block boilerplate: prose, word (times log(1 + words), as far as they are no links), good, text; content: junk, link, bad, weak, item.
+WEIGHTS = {"prose": 0.4, "word": 1.0, "good": 4.0, "text": 0.5, "junk": 0.8, "link": 4.0, "bad": 20.0, "weak": 3.0, "item": 0.3}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "bad", "good", "links")
+    """An element; ``block`` is the innermost block element it stands in, itself included."""
+
+    __slots__ = ("tag", "parent", "depth", "bad", "good", "block")
 
     def __init__(self, tag: str, parent: "Node | None", attrs: str = ""):
         self.tag, self.parent = tag, parent
+        self.block = self if tag in _BLOCK or parent is None else parent.block
         self.depth = parent.depth + 1 if parent else 0
         self.bad = parent.bad if parent else 0.0
         self.good = parent.good if parent else 0.0
@@ -65,7 +77,9 @@ class Node:
                     self.bad = NEVER
             if names and tag not in ("html", "body"):
                 if (m := _BAD_NAME.search(names)) and not (self.good and m[0].strip(" _-").lower() in _HEADS):
-                    self.bad = max(self.bad, 20.0)
+                    self.bad = max(self.bad, WEIGHTS["bad"])
+                elif _WEAK_NAME.search(names):
+                    self.bad = max(self.bad, WEIGHTS["weak"])
                 elif _GOOD_NAME.search(names):
                     self.good = max(self.good, 0.5)
 
@@ -78,7 +92,7 @@ def blocks(page: str) -> list[tuple[str, Node, int]]:
     """
     out: list[tuple[str, Node, int]] = []
     root = Node("html", None)
-    stack = [root]
+    stack, opened = [root], Counter()
     held: list[str] = []
     owner, linked, in_link = root, 0, 0
 
@@ -94,10 +108,21 @@ def blocks(page: str) -> list[tuple[str, Node, int]]:
         nonlocal owner, linked
         if s:
             if not held:
-                owner = next(n for n in reversed(stack) if n.tag in _BLOCK)
+                owner = stack[-1].block
             held.append(s)
             if in_link:
-                linked += len(s.strip())
+                linked += len(html.unescape(s).strip())
+
+    def close(n: int) -> None:
+        """End the elements from the n-th open one on."""
+        nonlocal in_link
+        for node in stack[n:]:
+            opened[node.tag] -= 1
+            in_link -= node.tag == "a"
+        del stack[n:]
+
+    def innermost(tag: str) -> int:
+        return next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag)
 
     at = 0
     while m := _TAG.search(page, at):
@@ -110,12 +135,10 @@ def blocks(page: str) -> list[tuple[str, Node, int]]:
         if m[1]:
             if tag == "br":
                 say(" ")
-            elif any(n.tag == tag for n in stack[1:]):
+            elif opened[tag] > 0:
                 if tag in _BLOCK:
                     flush()
-                while stack[-1].tag != tag:
-                    in_link -= stack.pop().tag == "a"
-                in_link -= stack.pop().tag == "a"
+                close(innermost(tag))
             continue
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -124,19 +147,16 @@ def blocks(page: str) -> list[tuple[str, Node, int]]:
             continue
         if tag in _BLOCK:
             flush()
-            if tag in ("html", "body") and len(stack) > 1 and any(n.tag == tag for n in stack):
+            if tag in ("html", "body") and len(stack) > 1 and (opened[tag] > 0 or tag == "html"):
                 continue
-            if tag in _CLOSES_P and any(n.tag == "p" for n in stack):
-                while stack[-1].tag != "p":
-                    in_link -= stack.pop().tag == "a"
-                stack.pop()
+            if tag in _CLOSES_P and opened["p"] > 0:
+                close(innermost("p"))
             elif tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in ("ul", "ol", "dl", "menu", "table", "tbody", "thead", "tfoot") or tag in ("td", "th") and stack[i].tag == "tr":
                         break
                     if stack[i].tag == tag or {stack[i].tag, tag} <= {"dd", "dt"} or {stack[i].tag, tag} <= {"td", "th"} or tag == "tr" and stack[i].tag in ("td", "th"):
-                        in_link -= sum(n.tag == "a" for n in stack[i:])
-                        del stack[i:]
+                        close(i)
             if tag == "hr":
                 continue
         elif tag == "br":
@@ -146,6 +166,7 @@ def blocks(page: str) -> list[tuple[str, Node, int]]:
             continue
         if tag == "a":
             in_link += 1
+        opened[tag] += 1
         stack.append(Node(tag, stack[-1], m[3] or ""))
     say(page[at:])
     flush()
@@ -154,14 +175,14 @@ def blocks(page: str) -> list[tuple[str, Node, int]]:
 
 def costs(text: str, node: Node, linked: int) -> tuple[float, float]:
     """(cost of calling the block boilerplate, cost of calling it content)."""
-    words = len(_WORD.findall(text)) if len(text) < 4_000 else len(text) // 6
+    w = WEIGHTS
     share = min(1.0, linked / max(1, len(text)))
-    prose = 0.4 + math.log1p(words) * (1 - share) + 4.0 * node.good
-    junk = 0.8 + 4.0 * share + node.bad
+    prose = w["prose"] + w["word"] * math.log1p(len(_WORD.findall(text))) * (1 - share) + w["good"] * node.good
+    junk = w["junk"] + w["link"] * share + node.bad
     if node.tag in ("li", "td", "th", "dd", "dt"):
-        junk += 0.3
+        junk += w["item"]
     if node.tag in ("h1", "h2", "h3", "p", "blockquote", "pre"):
-        prose += 0.5
+        prose += w["text"]
     return prose, junk
 
 
@@ -186,43 +207,101 @@ def edges(found: list[tuple[str, Node, int]]) -> list[tuple[int, int, float]]:
 
 
 def min_cut(prose: list[float], junk: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
-    """Content side of a minimum cut: sum of junk over content, of prose over the rest, of links across.
+    """Content side of a minimum cut: sum of junk over content, of prose over the rest, of links across; of several the smallest content.
 
-    Direct flow from source over a block to the sink goes first; what is left
-    of the source's capacities then seeks the sink over shortest paths.
+    Direct flow from source over a block to the sink goes first.  A block whose
+    rest outweighs all its edges is on its side in every minimum cut; its edges
+    become capacities of its neighbours, and so on.  On what is left the maximum
+    flow is sought.
     """
     n = len(prose)
     net = [a - b for a, b in zip(prose, junk, strict=True)]  # > 0: left from the source; < 0: left to the sink
     near: list[dict[int, float]] = [{} for _ in range(n)]
     for i, j, c in links:
-        near[i][j] = near[i].get(j, 0.0) + c
-        near[j][i] = near[j].get(i, 0.0) + c
+        if c > 0 and i != j:
+            near[i][j] = near[i].get(j, 0.0) + c
+            near[j][i] = near[j].get(i, 0.0) + c
+    pull = [sum(x.values()) for x in near]
+    side: list[bool | None] = [None] * n
+    todo = list(range(n))
+    while todo:
+        i = todo.pop()
+        if side[i] is None and abs(net[i]) > pull[i] + _EPS:
+            side[i] = net[i] > 0
+            for j, c in near[i].items():
+                if side[j] is None:
+                    net[j] += c if side[i] else -c
+                    pull[j] -= c
+                    todo.append(j)
+    open_ = [i for i in range(n) if side[i] is None]
+    if open_:
+        place = {i: k for k, i in enumerate(open_)}
+        rest = [(place[i], place[j], c) for i in open_ for j, c in near[i].items() if i < j and side[j] is None]
+        for i, content in zip(open_, _reached([net[i] for i in open_], rest), strict=True):
+            side[i] = content
+    return [bool(x) for x in side]
+
+
+def _reached(net: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
+    """What a maximum flow leaves reachable from the source: flows along shortest paths, all paths of one length in a phase."""
+    n = len(net)
+    source, sink = n, n + 1
+    out: list[list[int]] = [[] for _ in range(n + 2)]  # arcs; an arc's number with the last bit turned is its reverse
+    to: list[int] = []
+    room: list[float] = []
+
+    def arc(i: int, j: int, there: float, back: float) -> None:
+        out[i].append(len(to))
+        out[j].append(len(to) + 1)
+        to.extend((j, i))
+        room.extend((there, back))
+
+    for i, x in enumerate(net):
+        if x > _EPS:
+            arc(source, i, x, 0.0)
+        elif x < -_EPS:
+            arc(i, sink, -x, 0.0)
+    for i, j, c in links:
+        arc(i, j, c, c)
     while True:
-        came = {i: -1 for i in range(n) if net[i] > _EPS}
-        todo, end = deque(came), -1
-        while todo and end < 0:
+        level = [-1] * (n + 2)
+        level[source] = 0
+        todo = deque([source])
+        while todo:
             i = todo.popleft()
-            for j, c in near[i].items():
-                if c > _EPS and j not in came:
-                    came[j] = i
-                    if net[j] < -_EPS:
-                        end = j
-                        break
+            for a in out[i]:
+                j = to[a]
+                if level[j] < 0 and room[a] > _EPS:
+                    level[j] = level[i] + 1
                     todo.append(j)
-        if end < 0:
-            return [i in came for i in range(n)]
-        flow, j = -net[end], end
-        while came[j] >= 0:
-            flow, j = min(flow, near[came[j]][j]), came[j]
-        flow = min(flow, net[j])
-        net[j] -= flow
-        j = end
-        while came[j] >= 0:
-            i = came[j]
-            near[i][j] -= flow
-            near[j][i] += flow
-            j = i
-        net[end] += flow
+        if level[sink] < 0:
+            return [x >= 0 for x in level[:n]]
+        now = [0] * (n + 2)  # the next arc to try
+        path: list[int] = []
+        i = source
+        while True:
+            if i == sink:
+                flow = min(room[a] for a in path)
+                for a in path:
+                    room[a] -= flow
+                    room[a ^ 1] += flow
+                # go back to where the path is broken
+                cut = next(k for k, a in enumerate(path) if room[a] <= _EPS)
+                i = to[path[cut] ^ 1]
+                del path[cut:]
+                continue
+            arcs, k = out[i], now[i]
+            while k < len(arcs) and not (room[arcs[k]] > _EPS and level[to[arcs[k]]] == level[i] + 1):
+                k += 1
+            now[i] = k
+            if k < len(arcs):
+                path.append(arcs[k])
+                i = to[arcs[k]]
+            elif path:
+                i = to[path.pop() ^ 1]
+                now[i] += 1
+            else:
+                break
 
 
 def main_text(page: str | None) -> str:
@@ -238,9 +317,12 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row; other columns are not looked at."""
 
+    bounded(pages.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             text = [main_text(h) for h in b.pop("html")]
             yield b.assign(text=text, n_chars=np.array([len(t) for t in text], np.int64))
+        release()
 
     return pages.select("page_id", "url", text_of(F.col("html")).alias("html")).mapInPandas(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
