@@ -28,9 +28,11 @@ def correlate(x: np.ndarray, kernel: np.ndarray, mode: str = "constant", pad_val
 
 @lru_cache(maxsize=64)
 def gaussian(size: int, sigma: float) -> np.ndarray:
-    at = np.linspace(-(size // 2), size // 2, size) / (np.sqrt(2) * sigma)
-    weight = np.exp(-np.add.outer(at**2, at**2))
-    return weight / weight.sum()
+    """Outer product of a normalised one-dimensional bell; an even size has no cell at its centre's distance 0."""
+    side = np.linspace(-(size // 2), size // 2, size)
+    bell = np.exp(-0.5 * (side / sigma) ** 2)
+    bell /= bell.sum()
+    return np.outer(bell, bell)
 
 
 def blur(x: np.ndarray, size: int = 3, sigma: float = 3.0) -> np.ndarray:
@@ -113,8 +115,10 @@ def compose(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
 
 @lru_cache(maxsize=256)
 def _ricker(width: int, points: int) -> np.ndarray:
-    t = np.arange(points) - (points - 1) / 2
-    return 2 / (np.sqrt(3 * width) * np.pi**0.25) * (1 - (t / width) ** 2) * np.exp(-(t**2) / (2 * width**2))
+    """Samples of the Mexican hat of a width, one apart, centred: the negative second derivative of a bell, of unit energy."""
+    square = (np.linspace(-0.5, 0.5, points) * (points - 1) / width) ** 2
+    unit = np.sqrt(4 / (3 * width * np.sqrt(np.pi)))
+    return unit * np.exp(-square / 2) * (1 - square)
 
 
 @lru_cache(maxsize=64)
@@ -128,8 +132,8 @@ def wavelet_matrices(n: int, widths: int) -> np.ndarray:
     return out
 
 
-def cw_ssim(a: np.ndarray, b: np.ndarray, widths: int = 30, k: float = 0.01) -> np.ndarray:
-    """Complex-wavelet structural similarity of each pair."""
+def cw_ssim_map(a: np.ndarray, b: np.ndarray, widths: int = 30, k: float = 0.01) -> np.ndarray:
+    """Complex-wavelet structural similarity of each pair at each pixel, (n, pixels)."""
     x, y = a.reshape(len(a), -1).astype(float), b.reshape(len(b), -1).astype(float)
     prod, plain, xx, yy = (np.zeros_like(x) for _ in range(4))
     for m in wavelet_matrices(x.shape[1], widths):
@@ -138,18 +142,30 @@ def cw_ssim(a: np.ndarray, b: np.ndarray, widths: int = 30, k: float = 0.01) ->
         prod += np.abs(p * q)
         xx += p * p
         yy += q * q
-    ratio = (2 * prod + k) / (xx + yy + k) * ((2 * np.abs(plain) + k) / (2 * prod + k))
-    return ratio.mean(axis=1)
+    return (2 * prod + k) / (xx + yy + k) * ((2 * np.abs(plain) + k) / (2 * prod + k))
+
+
+def cw_ssim(a: np.ndarray, b: np.ndarray, widths: int = 30, k: float = 0.01) -> np.ndarray:
+    """Complex-wavelet structural similarity of each pair."""
+    return cw_ssim_map(a, b, widths, k).mean(axis=1)
+
+
+def ssim_map(a: np.ndarray, b: np.ndarray, sigma: float = 1.0, top: float = 255.0) -> np.ndarray:
+    """Structural similarity of each pair at each pixel: the luminance term times the contrast-structure term."""
+    a, b = a.astype(float), b.astype(float)
+    near = lambda z: blur(z, 3, sigma)
+    mean_a, mean_b = near(a), near(b)
+    both = mean_a * mean_b
+    spread = near(a * a) - mean_a**2 + near(b * b) - mean_b**2
+    small, large = ((f * top) ** 2 for f in (0.01, 0.03))
+    luminance = (2 * both + small) / (mean_a**2 + mean_b**2 + small)
+    structure = (2 * (near(a * b) - both) + large) / (spread + large)
+    return luminance * structure
 
 
 def ssim(a: np.ndarray, b: np.ndarray, window: int = 11, sigma: float = 1.0, top: float = 255.0) -> np.ndarray:
     """Structural similarity, mean over the centre; the window only sets the centre's size."""
-    a, b = a.astype(float), b.astype(float)
-    c1, c2 = (0.01 * top) ** 2, (0.03 * top) ** 2
-    ux, uy, sxx, syy, sxy = (blur(z, 3, sigma) for z in (a, b, a * a, b * b, a * b))
-    vx, vy, vxy = sxx - ux * ux, syy - uy * uy, sxy - ux * uy
-    value = (2 * ux * uy + c1) * (2 * vxy + c2) / ((ux**2 + uy**2 + c1) * (vx + vy + c2))
-    return crop(value, ((window - 1) // 2,) * 2).mean(axis=(1, 2))
+    return crop(ssim_map(a, b, sigma, top), ((window - 1) // 2,) * 2).mean(axis=(1, 2))
 
 
 def crop(x: np.ndarray, size: tuple[int, int]) -> np.ndarray:
@@ -205,11 +221,16 @@ def best_composition(a: np.ndarray, b: np.ndarray, target: np.ndarray, widths: i
     return kind, -best if metric.lower() == "rmse" else best, image
 
 
-def tiles(x: np.ndarray, g: int) -> np.ndarray:
-    """(tiles, g, g) of one image in row-major order; remainders are dropped."""
-    h, w = x.shape
+def stack_tiles(x: np.ndarray, g: int) -> np.ndarray:
+    """(n, tiles, g, g) of a stack in row-major order; remainders are dropped."""
+    n, h, w = x.shape
     r, c = h // g, w // g
-    return x[: r * g, : c * g].reshape(r, g, c, g).swapaxes(1, 2).reshape(r * c, g, g)
+    return x[:, : r * g, : c * g].reshape(n, r, g, c, g).swapaxes(2, 3).reshape(n, r * c, g, g)
+
+
+def tiles(x: np.ndarray, g: int) -> np.ndarray:
+    """(tiles, g, g) of one image."""
+    return stack_tiles(x[None], g)[0]
 
 
 def label(x: np.ndarray) -> np.ndarray:
@@ -253,5 +274,6 @@ def resize(x: np.ndarray, size: tuple[int, int]) -> np.ndarray:
     if (h, w) == tuple(size):
         return x
     x = x.astype(np.int64) & 255
-    wide = np.clip(np.floor(np.einsum("nyx,mx->nym", x, _bicubic_weights(w, size[1])) + 0.5), 0, 255)
-    return np.clip(np.floor(np.einsum("nym,ky->nkm", wide, _bicubic_weights(h, size[0])) + 0.5), 0, 255).astype(np.int64)
+    whole = lambda z: np.clip(np.floor(np.round(z, 9) + 0.5), 0, 255)  # noqa: E731  halves go up, whatever order they were summed in
+    wide = whole(np.einsum("nyx,mx->nym", x, _bicubic_weights(w, size[1])))
+    return whole(np.einsum("nym,ky->nkm", wide, _bicubic_weights(h, size[0]))).astype(np.int64)

@@ -27,24 +27,29 @@ def mutual(rel: DataFrame) -> DataFrame:
     return rel.withColumn("_e", F.explode(F.when(F.size("relation") == 2, pair).otherwise(triplet))).select(*rel.columns, "_e.*")
 
 
-def mutual_features(analogies: DataFrame, figures: DataFrame, images: DataFrame, grids: list[int], **options) -> DataFrame:
-    """(problem_id, analogy, side, grid, feature): distinct features of each side of each analogy.
+def _found(analogies: DataFrame, figures: DataFrame, images: DataFrame, grids: list[int], **options) -> DataFrame:
+    """(problem_id, analogy, side, grid, feature), where a feature may repeat.
 
     A relation that several analogies share, such as the premise of all
-    answers, is encoded once.
+    answers, is encoded once: each directed encoding carries the numbers of the
+    analogies and sides that ask for it, and what it says goes to all of them.
+    A problem's figures and analogies are few, so both travel as arrays.
     """
-    rel = relations(analogies)
-    grid = F.explode(F.array(*[F.lit(int(g)) for g in grids])).alias("grid")
-    wanted = mutual(rel.select("problem_id", "relation").distinct()).select("problem_id", "d1", F.coalesce("d2", F.lit("")).alias("d2"), "r", "relation")
-    once = wanted.select("problem_id", "d1", "d2", "r").distinct().select("*", grid)
-    fig = lambda n, to: figures.select("problem_id", F.col("figure").alias(n), F.col("img_id").alias(to))
-    known = once.join(fig("d1", "domain1"), ["problem_id", "d1"]).join(fig("r", "range_img"), ["problem_id", "r"]).join(fig("d2", "domain2"), ["problem_id", "d2"], "left")
-    known = known.where("d2 = '' or domain2 is not null").withColumn("encoding_id", F.xxhash64("problem_id", "d1", "d2", "r", "grid"))
-    codes = encode(known.select("encoding_id", "domain1", "domain2", "range_img", "grid"), images, **options)
-    found = feats.features(codes).distinct()
-    of_relation = wanted.join(known.select("problem_id", "d1", "d2", "r", "encoding_id", "grid"), ["problem_id", "d1", "d2", "r"])
-    of_relation = of_relation.select("problem_id", "relation", "encoding_id", "grid").join(found, "encoding_id").select("problem_id", "relation", "grid", "feature").distinct()
-    return rel.join(of_relation, ["problem_id", "relation"]).select("problem_id", "analogy", "side", "grid", "feature")
+    asked = F.collect_list(F.struct("analogy", "side"))
+    directed = mutual(relations(analogies)).groupBy("problem_id", "d1", "d2", "r").agg(asked.alias("asked"))
+    known = figures.groupBy("problem_id").agg(F.map_from_entries(F.collect_list(F.struct("figure", "img_id"))).alias("of"))
+    at = lambda c: F.try_element_at("of", F.col(c))
+    full = directed.join(known, "problem_id").select("problem_id", "asked", at("d1").alias("domain1"), F.when(F.col("d2").isNotNull(), at("d2")).alias("domain2"), at("r").alias("range_img"), F.col("d2").isNotNull().alias("two"))
+    full = full.where("domain1 is not null and range_img is not null and (domain2 is not null or not two)")
+    numbered = full.withColumn("grid", F.explode(F.array(*[F.lit(int(g)) for g in grids])))
+    carried = F.struct("problem_id", "asked").alias("carry")
+    codes = encode(numbered.select(F.xxhash64("problem_id", "domain1", "domain2", "range_img", "grid").alias("encoding_id"), "domain1", "domain2", "range_img", "grid", carried), images, carry=True, **options)
+    return feats.features(codes, "carry", "grid").select("carry.problem_id", F.explode("carry.asked").alias("a"), "grid", "feature").select("problem_id", "a.analogy", "a.side", "grid", "feature")
+
+
+def mutual_features(analogies: DataFrame, figures: DataFrame, images: DataFrame, grids: list[int], **options) -> DataFrame:
+    """(problem_id, analogy, side, grid, feature): distinct features of each side of each analogy."""
+    return _found(analogies, figures, images, grids, **options).distinct()
 
 
 def scores(analogies: DataFrame, figures: DataFrame, images: DataFrame, grid: int, **options) -> DataFrame:
@@ -53,10 +58,9 @@ def scores(analogies: DataFrame, figures: DataFrame, images: DataFrame, grid: in
 
 
 def multiscale_scores(analogies: DataFrame, figures: DataFrame, images: DataFrame, grids: list[int], **options) -> DataFrame:
-    """As :func:`scores`, with the features of several grids in one set each."""
-    f = mutual_features(analogies, figures, images, grids, **options)
-    side = lambda k: f.where(F.col("side") == k).select("problem_id", "analogy", "feature").distinct()
-    return feats.similarity(side(1), side(2), "problem_id", "analogy")
+    """As :func:`scores`, with the features of several grids in one set each.  Features carry their sides as bits, in one pass."""
+    seen = _found(analogies, figures, images, grids, **options).groupBy("problem_id", "analogy", "feature").agg(F.bit_or("side").alias("sides"))
+    return feats.shared(seen, "problem_id", "analogy")
 
 
 def best_answers(scored: DataFrame) -> DataFrame:

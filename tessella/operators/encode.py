@@ -2,8 +2,9 @@
 
 An encoding says how the tiles of a range image are best made of transformed
 tiles of one or two domain images.  The search is local to an encoding and
-a run of its range tiles: such work units carry their images and are spread
-over the cluster, so there is no shuffle beyond the join that fetches pixels.
+a run of its range tiles: such work units carry the domain images and their own
+rows of the range image, and are dealt out over the cluster one by one, so that
+a single pair of large images uses all of it.
 """
 
 from __future__ import annotations
@@ -22,49 +23,72 @@ CODE = "encoding_id long, dx int, dy int, sx int, sy int, ti int, contrast doubl
 CONTRAST, BLANK_BRIGHTNESS, EPS = 0.75, 255, 10
 #: Candidates (range tiles x domain tiles x transforms) that one work unit compares at most.
 UNIT_CANDIDATES = 4_000_000
+#: Pixel differences that are held at once.
+CELLS = 8_000_000
 
 
-def search(range_tiles, corners, d1, d2, g: int, n_ti: int, wrap: bool, offset: int, all_range: int, per_row: int, composition: bool):
-    """Codes of some range tiles (m, g, g) against domain tiles (k, g, g) at ``corners`` (sx, sy).
+def _sizes(r: np.ndarray, forms: np.ndarray, wraps: np.ndarray) -> np.ndarray:
+    """Sums of squared differences (e, m, k, t) of range tiles (e, m, p) and forms (e, k, t, p), modulo 256 pixel by pixel where ``wraps``."""
+    diff = forms[:, None] - r[:, :, None, None]
+    diff *= diff
+    return np.where(wraps, (diff & 255).sum(-1), diff.sum(-1)) if wraps.any() else diff.sum(-1)
 
-    Order of candidates: error, then source, row, column, transform.
+
+def search(r: np.ndarray, sources: list[np.ndarray], dark: np.ndarray, at: np.ndarray, every: int, per_row: int, per_row_d: int, n_ti: int, wrap: bool, composition: bool) -> dict[str, np.ndarray]:
+    """Codes of range tiles (e, m, g, g) of e encodings against their domain tiles, each source (e, k, g, g).
+
+    ``dark`` (e, k): which domain tiles take part, at least one for each
+    encoding; ``at`` (e, m): numbers of the range tiles, of which an encoding
+    has ``every`` in rows of ``per_row``.  Order of candidates: error, then
+    source, row, column, transform.  Arrays of shape (e, m) by column.
     """
-    m, k = len(range_tiles), len(d1)
-    at = offset + np.arange(m)
+    e, m, g = r.shape[:3]
+    k = sources[0].shape[1]
     dx, dy = at // per_row * g, at % per_row * g
-    far = np.sqrt(float((all_range // per_row - 1) * g - corners[:, 0].min()) ** 2 + float((per_row - 1) * g - corners[:, 1].min()) ** 2)
+    corner = np.stack([np.arange(k) // per_row_d * g, np.arange(k) % per_row_d * g])
+    first = np.where(dark[:, None], corner, np.iinfo(np.int64).max).min(2)
+    far = np.sqrt(((every // per_row - 1) * g - first[:, 0]).astype(float) ** 2 + ((per_row - 1) * g - first[:, 1]).astype(float) ** 2)
     w2 = 1.0 / (far + EPS)
-    flat = lambda x: x.reshape(len(x), -1).astype(np.int64)
-    r = flat(range_tiles)
-    sources = [d1] if d2 is None else [d1, d2]
-    forms = [np.stack([blocks.transform(d, ti).astype(np.int64) for ti in range(n_ti)], axis=1) for d in sources]  # (k, ti, g, g)
-    dist = np.sqrt((dx[:, None] - corners[None, :, 0]).astype(float) ** 2 + (dy[:, None] - corners[None, :, 1]).astype(float) ** 2)
+    small = max(int(x.max(initial=0)) for x in (r, *sources)) <= 255 and min(int(x.min(initial=0)) for x in (r, *sources)) >= 0 and g <= 180
+    flat = lambda x: x.reshape(*x.shape[:2], -1).astype(np.int32 if small else np.int64)
+    own = flat(r)
+    forms = [np.stack([blocks.transform(d.reshape(e * k, g, g), ti).reshape(e, k, -1) for ti in range(n_ti)], axis=2).astype(own.dtype) for d in sources]
+    dist = np.sqrt((dx[:, :, None] - corner[0]).astype(float) ** 2 + (dy[:, :, None] - corner[1]).astype(float) ** 2)
     wraps = np.array([wrap and ti != blocks.UNFILL for ti in range(n_ti)])
-    choice, least = np.zeros((len(sources), m), np.int64), np.full((len(sources), m), np.inf)
-    step = max(1, 20_000_000 // max(1, k * n_ti * g * g))
+    choice, least = np.zeros((len(sources), e, m), np.int64), np.full((len(sources), e, m), np.inf)
+    cells = k * n_ti * g * g
+    some_e = max(1, CELLS // (cells * m))
+    some_m = m if some_e > 1 else max(1, CELLS // cells)
     for s, f in enumerate(forms):
-        for a in range(0, m, step):
-            diff = (f.reshape(1, k, n_ti, -1) - r[a : a + step, None, None, :]) ** 2
-            size = np.where(wraps[None, None, :], (diff & 255).sum(-1), diff.sum(-1))
-            err = 1 * np.sqrt(size.astype(float)) + w2 * dist[a : a + step, :, None]
-            err = err.reshape(len(err), -1)
-            choice[s, a : a + step] = err.argmin(1)
-            least[s, a : a + step] = err.min(1)
+        for i in range(0, e, some_e):
+            for j in range(0, m, some_m):
+                part = (slice(i, i + some_e), slice(j, j + some_m))
+                err = 1 * np.sqrt(_sizes(own[part], f[part[0]], wraps).astype(float)) + w2[part[0], None, None, None] * dist[part][..., None]
+                err[~np.broadcast_to(dark[part[0], None, :, None], err.shape)] = np.inf
+                err = err.reshape(*err.shape[:2], -1)
+                choice[s][part] = err.argmin(2)
+                least[s][part] = err.min(2)
     win = least.argmin(0)
-    best = choice[win, np.arange(m)]
+    best = np.take_along_axis(choice, win[None], 0)[0]
     tile, ti = best // n_ti, best % n_ti
-    if d2 is None:
-        made = forms[0][tile, ti]
-        x = blocks.best_composition(made, range_tiles, range_tiles, 5, wrap=wrap)[0] if composition else np.zeros(m, np.int64)
+    row = np.arange(e)[:, None]
+    made = [f[row, tile, ti].reshape(e * m, g, g).astype(np.int64) for f in forms]
+    target = r.reshape(e * m, g, g)
+    x = np.zeros(e * m, np.int64)
+    if len(sources) == 1:
+        image = made[0]
+        if composition:
+            x = blocks.best_composition(image, target, target, 5, wrap=wrap)[0]
     elif composition:
-        x, _, made = blocks.best_composition(forms[0][tile, ti], forms[1][tile, ti], range_tiles, 2, wrap=wrap)
+        x, _, image = blocks.best_composition(*made, target, 2, wrap=wrap)
     else:
-        x, made = np.zeros(m, np.int64), np.where((win == 0)[:, None, None], forms[0][tile, ti], forms[1][tile, ti])
-    b = blocks.brightness(r.sum(1), flat(made).sum(1), g * g)
-    return pd.DataFrame({"dx": dx, "dy": dy, "sx": corners[tile, 0], "sy": corners[tile, 1], "ti": ti, "contrast": CONTRAST, "brightness": b, "comp": x, "grid": g, "err": least.min(0), "src": win + 1})
+        image = np.where((win.ravel() == 0)[:, None, None], *made)
+    total = lambda z: z.reshape(e * m, -1).astype(np.int64).sum(1)
+    light = blocks.brightness(total(target), total(image), g * g).reshape(e, m)
+    return {"dx": dx, "dy": dy, "sx": corner[0][tile], "sy": corner[1][tile], "ti": ti, "brightness": light, "comp": x.reshape(e, m), "err": least.min(0), "src": win + 1}
 
 
-def encode(encodings: DataFrame, images: DataFrame, n_transforms: int = 10, error_mode: str = "wrap256", composition: bool = True, details: bool = False) -> DataFrame:
+def encode(encodings: DataFrame, images: DataFrame, n_transforms: int = 10, error_mode: str = "wrap256", composition: bool = True, details: bool = False, carry: bool = False) -> DataFrame:
     """Codebooks, one row per code.
 
     ``encodings``: encoding_id, domain1, domain2 (null for one source),
@@ -73,51 +97,71 @@ def encode(encodings: DataFrame, images: DataFrame, n_transforms: int = 10, erro
     default code for each range tile; a grid larger than the range image gives
     none; an unknown image gives none.  Two sources must have one shape.
     ``composition=False`` leaves comp 0 (two sources: the better one).
+    ``carry``: encodings are all different and have a column ``carry``, which
+    stands with every code; nothing is joined back.
     """
     if error_mode not in ("wrap256", "exact"):
         raise ValueError("error_mode is wrap256 or exact")
     what = ["domain1", "domain2", "range_img", "grid"]
-    once = encodings.groupBy(*what).agg(F.min("encoding_id").alias("encoding_id"))
+    more = ["carry"] if carry else []
+    once = encodings if carry else encodings.groupBy(*what).agg(F.min("encoding_id").alias("encoding_id"))
     take = lambda n: images.select(F.col("img_id").alias(n), F.struct("h", "w", "pixels").alias(f"_{n}"))
     full = once.join(take("range_img"), "range_img").join(take("domain1"), "domain1").join(take("domain2"), "domain2", "left")
-    full = full.where("domain2 is null or _domain2 is not null").select("encoding_id", "grid", *[F.col(f"_{n}").alias(n) for n in ("domain1", "domain2", "range_img")])
+    full = full.where("domain2 is null or _domain2 is not null").select("encoding_id", "grid", *more, *[F.col(f"_{n}").alias(n) for n in ("domain1", "domain2", "range_img")])
     count = lambda n: F.floor(F.col(f"{n}.h") / F.col("grid")) * F.floor(F.col(f"{n}.w") / F.col("grid"))
     per = F.greatest(F.lit(1), F.floor(F.lit(UNIT_CANDIDATES) / F.greatest(F.lit(1), count("domain1") * n_transforms)))
     units = full.where(count("range_img") > 0).withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), count("range_img") - 1, per))).withColumn("per", per)
+    # a unit's own rows of the range image; rows are counted in pixels
+    wide = F.col("range_img.w")
+    across = F.floor(wide / F.col("grid"))
+    top = F.floor(F.col("lo") / across) * F.col("grid")
+    below = F.least((F.floor((F.col("lo") + F.col("per") - 1) / across) + 1) * F.col("grid"), F.floor(F.col("range_img.h") / F.col("grid")) * F.col("grid"))
+    own = F.slice("range_img.pixels", (top * wide + 1).cast("int"), ((below - top) * wide).cast("int"))
+    units = units.select("encoding_id", "grid", *more, "domain1", "domain2", F.struct((below - top).cast("int").alias("h"), wide.alias("w"), own.alias("pixels")).alias("range_img"), "lo", "per", count("range_img").alias("every"))
+    units = units.repartition(int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")), "encoding_id", "lo")  # a number, or Spark would join small ones again
     wrap = error_mode == "wrap256"
 
-    def image(s) -> np.ndarray | None:
-        if s is None or s["pixels"] is None:
-            return None
-        return np.asarray(s["pixels"], np.int64).reshape(int(s["h"]), int(s["w"]))  # sizes are float where a batch has nulls
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for e, g, s1, s2, sr, lo, n in zip(*(b[c] for c in ("encoding_id", "grid", "domain1", "domain2", "range_img", "lo", "per")), strict=True):
-                a, c, r = image(s1), image(s2), image(sr)
-                if c is not None and c.shape != a.shape:
+            # units of one shape are searched together
+            alike: dict[tuple, list[int]] = {}
+            for i, (g, s1, s2, sr, n, lo, every) in enumerate(zip(*(b[c] for c in ("grid", "domain1", "domain2", "range_img", "per", "lo", "every")), strict=True)):
+                two = s2 is not None and s2["pixels"] is not None
+                shape = (int(s1["h"]), int(s1["w"]))  # sizes are float where a batch has nulls
+                if two and (int(s2["h"]), int(s2["w"])) != shape:
                     raise ValueError("two domain images must have one shape")
-                cols, every = r.shape[1] // g, r.shape[0] // g * (r.shape[1] // g)
-                own = blocks.tiles(r, g)[lo : lo + n]
-                d1 = blocks.tiles(a, g)
-                d2 = None if c is None else blocks.tiles(c, g)
-                dark = (d1 <= 128).any(axis=(1, 2)) if d2 is None else (d1 <= 128).any(axis=(1, 2)) | (d2 <= 128).any(axis=(1, 2))
-                if not dark.any():
-                    at = lo + np.arange(len(own))
-                    codes = pd.DataFrame({"dx": at // cols * g, "dy": at % cols * g, "sx": 0, "sy": 0, "ti": 0, "contrast": CONTRAST, "brightness": BLANK_BRIGHTNESS, "comp": 0, "grid": g, "err": np.nan, "src": 0})
-                else:
-                    i = np.nonzero(dark)[0]
-                    per_row = a.shape[1] // g
-                    corners = np.stack([i // per_row * g, i % per_row * g], axis=1)
-                    codes = search(own, corners, d1[i], None if d2 is None else d2[i], g, n_transforms, wrap, int(lo), every, cols, composition)
-                out.append(codes.assign(encoding_id=e))
-            if out:
-                yield pd.concat(out)[names]
+                alike.setdefault((int(g), shape, two, int(sr["h"]), int(sr["w"]), int(every), int(min(n, every - lo))), []).append(i)
+            for (g, (h, w), two, rh, rw, every, m), rows in alike.items():
+                step = max(1, min(2_000, CELLS // (4 * (2 * h * w + rh * rw) + 1)))
+                for k in range(0, len(rows), step):
+                    some = rows[k : k + step]
+                    part = b.iloc[some]
+                    stack = lambda c, hh, ww: np.stack([np.asarray(s["pixels"], np.int64) for s in part[c]]).reshape(-1, hh, ww)  # noqa: B023, E731
+                    sources = [blocks.stack_tiles(stack(c, h, w), g) for c in (("domain1", "domain2") if two else ("domain1",))]
+                    lo, cols = part["lo"].to_numpy(np.int64), rw // g
+                    tiles = blocks.stack_tiles(stack("range_img", rh, rw), g)
+                    own = tiles[np.arange(len(some))[:, None], lo[:, None] % cols + np.arange(m)]
+                    at = lo[:, None] + np.arange(m)
+                    dark = np.any([(d <= 128).any(axis=(2, 3)) for d in sources], axis=0)
+                    found = dark.any(1)
+                    none = np.zeros((len(some), m), np.int64)
+                    codes = {"dx": at // cols * g, "dy": at % cols * g, "sx": none, "sy": none, "ti": none, "brightness": none + BLANK_BRIGHTNESS, "comp": none, "err": none + np.nan, "src": none}
+                    if found.any():
+                        got = search(own[found], [d[found] for d in sources], dark[found], at[found], every, cols, w // g, n_transforms, wrap, composition)
+                        codes = {c: np.array(v) for c, v in codes.items()}
+                        for c, v in got.items():
+                            codes[c][found] = v
+                    out = pd.DataFrame({c: v.ravel() for c, v in codes.items()}).assign(contrast=CONTRAST, grid=g, encoding_id=np.repeat(part["encoding_id"].to_numpy(), m))
+                    if carry:
+                        held = part["carry"].tolist()
+                        out["carry"] = [v for v in held for _ in range(m)]
+                    yield out[[*names, *more]]
 
     kind = CODE + ", err double, src int"
     names = [x.split()[0] for x in kind.split(", ")]
-    codes = units.mapInPandas(run, kind)
+    codes = units.mapInPandas(run, kind + "".join(f", {c} {encodings.schema[c].dataType.simpleString()}" for c in more))
+    if carry:
+        return codes.select(*[n for n in names if details or n not in ("err", "src")], "carry")
     ids = once.select(F.col("encoding_id").alias("_one"), *[F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(f"_k{i}") for i, c in enumerate(what)])
     own = encodings.select(F.col("encoding_id").alias("_own"), *[F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(f"_k{i}") for i, c in enumerate(what)])
     same = own.join(ids, [f"_k{i}" for i in range(len(what))]).select("_own", "_one")
@@ -204,8 +248,9 @@ def decode_quality(decoded: DataFrame, targets: DataFrame, widths: int = 30) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            score = [float(blocks.cw_ssim(np.asarray(p)[None], np.asarray(t, float)[None], widths)[0]) for p, t in zip(b["pixels"], b["_target"], strict=True)]
-            yield b[["encoding_id", "step"]].assign(score=score)
+            for _, same in b.groupby(b["pixels"].map(len), sort=False):
+                score = blocks.cw_ssim(np.stack(same["pixels"].to_numpy()), np.stack(same["_target"].to_numpy()).astype(float), widths)
+                yield same[["encoding_id", "step"]].assign(score=score)
 
     return both.mapInPandas(run, "encoding_id long, step int, score double")
 

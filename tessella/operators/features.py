@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import brightness_bin
 
+# Names of the printed transform fields, in their order.
 _NAMES = ("id", "angle", "hf", "vf", "ryx", "rynx", "fill", "unfill")
 
 
@@ -31,6 +32,7 @@ def feature_columns() -> dict[str, Column]:
     shift = [variable("dx", c("dx") - c("sx")), variable("dy", c("dy") - c("sy"))]
     size = [variable("dx", F.abs(c("dx") - c("sx"))), variable("dy", F.abs(c("dy") - c("sy")))]
     b, x, g = variable("brightness", brightness_bin(c("brightness"))), variable("img_comp", c("comp")), variable("grid_size", c("grid"))
+    # The eleven feature names.
     parts = {
         "feat_spec": [*at, *tr, b, x, g],
         "pos_ag": [*shift, *tr, b, x, g],
@@ -71,5 +73,9 @@ def similarity(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     One pass: each feature of a key is marked with the sides that have it.
     """
     sides = a.select(*keys, "feature", F.lit(1).alias("side")).unionByName(b.select(*keys, "feature", F.lit(2).alias("side")))
-    seen = sides.groupBy(*keys, "feature").agg(F.bit_or("side").alias("sides"))
+    return shared(sides.groupBy(*keys, "feature").agg(F.bit_or("side").alias("sides")), *keys)
+
+
+def shared(seen: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and score from features marked with the sides (1, 2 or both) that have them."""
     return seen.groupBy(*keys).agg((F.sum((F.col("sides") == 3).cast("long")) / F.count("*")).alias("score"))

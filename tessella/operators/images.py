@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import blocks, columns
+from ..functions import blocks, columns, registry
 from .stacks import flat, map_stacks
 
 
@@ -130,23 +130,24 @@ def composition_name(which: str | int) -> str:
 
 
 def compose(both: DataFrame, which: str | int) -> DataFrame:
-    """Composition of columns a and b of one shape by name or number, as pixels."""
+    """Composition of columns a and b of one shape by registered name or number, as pixels."""
     name = composition_name(which)
     keep = [c for c in both.columns if c not in ("a", "b")]
-    if name == "ImageXOR":
-        return map_stacks(both, lambda a, b: {"pixels": flat(blocks.compose(a, b, 6))}, ["a", "b"], "pixels array<int>", keep)
-    if name not in ("ImageCompIdentityLeft", "ImageCompIdentityRight", *columns._DARK):
+    if name not in registry.COMPOSITIONS:
         raise ValueError(f"no composition {name}")
+    if name not in ("ImageCompIdentityLeft", "ImageCompIdentityRight", *columns._DARK):
+        made = registry.COMPOSITIONS[name][1]
+        return map_stacks(both, lambda a, b: {"pixels": flat(made(a, b))}, ["a", "b"], "pixels array<int>", keep)
     return both.select(*keep, columns.composed(F.col("a"), F.col("b"), name).alias("pixels"))
 
 
-def chain(images: DataFrame, transforms: list[str]) -> DataFrame:
-    """Transforms by name, left to right."""
-    ids = [blocks.TRANSFORM_NAMES.index(t) for t in transforms]
+def chain(images: DataFrame, transforms: list[str | registry.Transform]) -> DataFrame:
+    """Transforms, by registered name or as they are, left to right."""
+    steps = [t.apply for t in registry.resolve(transforms)]
 
     def f(x):
-        for ti in ids:
-            x = blocks.transform(x, ti)
+        for apply in steps:
+            x = apply(x)
         return {"pixels": flat(x), "h": [x.shape[1]] * len(x), "w": [x.shape[2]] * len(x)}
 
     return map_stacks(images, f, ["pixels"], "pixels array<int>, h int, w int", ["img_id"]).select("img_id", "h", "w", "pixels")
@@ -171,6 +172,7 @@ def chosen_transforms(angle: int = 0, hf: int = 0, vf: int = 0, ryx: int = 0, ry
 
 def transforms_table(spark: SparkSession) -> DataFrame:
     """The ten transforms: ti, name, complexity and the ten decoded fields (angle for rotations, else 0 or 1)."""
+    # Names of the decoded fields, in the order of the transforms.
     fields = ["id", "r90", "r180", "r270", "hf", "vf", "f_rynx", "f_ryx", "fill", "unfill"]
     rows = []
     for ti, name in enumerate(blocks.TRANSFORM_NAMES):
@@ -185,19 +187,25 @@ def compositions_table(spark: SparkSession) -> DataFrame:
 
 
 def candidate_transforms(spark: SparkSession, max_n: int = 3, max_complexity: int = 10) -> DataFrame:
-    """Sets of up to max_n transforms whose complexities sum to less than max_complexity: n, names, complexity."""
+    """Sets of up to max_n transforms whose complexities sum to less than max_complexity: n, names, complexity, text."""
     rows = [
-        (len(c), [blocks.TRANSFORM_NAMES[i] for i in c], total)
+        (len(c), names := [blocks.TRANSFORM_NAMES[i] for i in c], total, registry.text(names))
         for n in range(1, max_n + 1)
         for c in combinations(range(10), n)
         if (total := sum(blocks.COMPLEXITIES[i] for i in c)) < max_complexity
     ]
-    return spark.createDataFrame(rows, "n int, names array<string>, complexity int")
+    return spark.createDataFrame(rows, "n int, names array<string>, complexity int, text string")
 
 
 def candidate_translations(spark: SparkSession, tx: list[int], ty: list[int]) -> DataFrame:
-    a, b = spark.createDataFrame([(x,) for x in tx], "tx int"), spark.createDataFrame([(y,) for y in ty], "ty int")
-    return a.crossJoin(F.broadcast(b))  # two literal lists
+    """Chains of one translation for each tx and ty: tx, ty, complexity, text."""
+    rows = [(x, y, registry.complexity([t]), registry.text([t])) for x in tx for y in ty for t in [registry.translation(x, y)]]
+    return spark.createDataFrame(rows, "tx int, ty int, complexity int, text string")
+
+
+def repeated(cells: DataFrame, passes: int) -> DataFrame:
+    """Every row ``passes`` times, numbered from 0 in ``pass``: the cells of a grid gone over again and again."""
+    return cells.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)) if passes > 0 else F.array().cast("array<int>")))
 
 
 def same_chain(a: Column, b: Column) -> Column:

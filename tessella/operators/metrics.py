@@ -35,6 +35,18 @@ def wavelets(images: DataFrame, widths: int) -> DataFrame:
     return per.select("img_id", (F.col("width") + 1).alias("width"), F.posexplode("v").alias("p", "value"))
 
 
+def ssim_map(both: DataFrame) -> DataFrame:
+    """Structural similarity at every pixel, in row-major order, as ``similarity``."""
+    keep = [c for c in both.columns if c not in ("a", "b")]
+    return map_stacks(both, lambda a, b: {"similarity": flat(blocks.ssim_map(a, b))}, ["a", "b"], "similarity array<double>", keep)
+
+
+def cw_ssim_map(both: DataFrame, widths: int = 30) -> DataFrame:
+    """Complex-wavelet similarity at every pixel, in row-major order, as ``similarity``."""
+    keep = [c for c in both.columns if c not in ("a", "b")]
+    return map_stacks(both, lambda a, b: {"similarity": list(blocks.cw_ssim_map(a, b, widths))}, ["a", "b"], "similarity array<double>", keep)
+
+
 def ssim(both: DataFrame, window: int = 11) -> DataFrame:
     keep = [c for c in both.columns if c not in ("a", "b")]
     return map_stacks(both, lambda a, b: {"score": blocks.ssim(a, b, window)}, ["a", "b"], "score double", keep)

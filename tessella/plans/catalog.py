@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import blocks, columns
+from ..functions import blocks, columns, registry
 from ..operators import analogy, components, encode, features, images, metrics
 from ..sources import images as src
 from ..sources import problems as prob
@@ -94,7 +95,19 @@ def translate_xy(spark, sf_dir):
 @query
 def translations_grid(spark, sf_dir):
     ship(spark)
-    return images.candidate_translations(spark, [-1, 0, 2], [0, 3])
+    return images.candidate_translations(spark, [-1, 0, 2], [0, 3]).select("tx", "ty")
+
+
+@query
+def translate_chain(spark, sf_dir):
+    return _sum(images.chain(pictures(spark, sf_dir), ["Rotate90", registry.translation(2, -3)]), "img_id")
+
+
+@query
+def compose_text(spark, sf_dir):
+    ship(spark)
+    both = images.candidate_transforms(spark), images.candidate_translations(spark, [-1, 0, 2], [0, 3])
+    return both[0].select("text", "complexity").union(both[1].select("text", "complexity"))
 
 
 @query
@@ -182,6 +195,14 @@ def compose_xor(spark, sf_dir):
     return _sum(images.compose(b.withColumns({"a": half, "b": other}), "ImageXOR"), "pair_id")
 
 
+@query
+def compose_registered(spark, sf_dir):
+    """A composition that is none of the six: the lighter pixel."""
+    if "ImageLighter" not in registry.COMPOSITIONS:
+        registry.register_composition("ImageLighter", lambda a, b: np.maximum(a, b))
+    return _sum(images.compose(_pairs(spark, sf_dir), "ImageLighter"), "pair_id")
+
+
 @query
 def frobenius_wrap(spark, sf_dir):
     return _pairs(spark, sf_dir).select("pair_id", metrics.frobenius(F.col("a"), F.col("b")).alias("error"))
@@ -253,6 +274,18 @@ def ssim_pair(spark, sf_dir):
     return metrics.ssim(_pairs(spark, sf_dir)).select("pair_id", F.round("score", 6).alias("score"))
 
 
+@query
+def ssim_map(spark, sf_dir):
+    m = metrics.ssim_map(_pairs(spark, sf_dir))
+    return m.select("pair_id", F.posexplode("similarity").alias("p", "value")).select("pair_id", "p", F.round("value", 6).alias("value"))
+
+
+@query
+def cw_ssim_map(spark, sf_dir):
+    m = metrics.cw_ssim_map(_pairs(spark, sf_dir), 3)
+    return m.select("pair_id", F.posexplode("similarity").alias("p", "value")).select("pair_id", "p", F.round("value", 6).alias("value"))
+
+
 @query
 def image_jaccard(spark, sf_dir):
     return _pairs(spark, sf_dir).select("pair_id", metrics.image_jaccard(F.col("a"), F.col("b")).alias("score"))
@@ -269,10 +302,16 @@ def best_composition(spark, sf_dir):
     return metrics.best_composition(t).select("pair_id", "x", "comp_name", F.round("score", 6).alias("score"))
 
 
-@query
-def best_composition_rmse(spark, sf_dir):
-    t = _pairs(spark, sf_dir, "binary", 3)
-    return metrics.best_composition(t, "rmse").select("pair_id", "x", F.round("score", 6).alias("score"))
+def _by_metric(metric: str):
+    def run(spark, sf_dir):
+        t = _pairs(spark, sf_dir, "binary", 3)
+        return metrics.best_composition(t, metric).select("pair_id", "x", F.round("score", 6).alias("score"))
+
+    QUERIES[f"best_composition_{metric}"] = run
+
+
+for _metric in ("rmse", "ssim", "tversky"):
+    _by_metric(_metric)
 
 
 @query
@@ -289,7 +328,7 @@ def encode_3x1(spark, sf_dir):
 
 def _codes(spark, sf_dir) -> DataFrame:
     p = pictures(spark, sf_dir, "binary")
-    return encode.encode(_encodings(p), p, n_transforms=8, composition=False)
+    return encode.encode(_encodings(p), p)
 
 
 @query
@@ -344,62 +383,66 @@ def problem_records(spark, sf_dir):
 @query
 def mutual_features(spark, sf_dir):
     p, a, figures, _ = _problems(spark, sf_dir)
-    f = analogy.mutual_features(a.where("analogy = 'A:B::C:1'"), figures, p, [GRID], n_transforms=8, composition=False)
-    return f.where("side = 1").select("problem_id", "feature")
+    return analogy.mutual_features(a, figures, p, [GRID]).select("problem_id", "analogy", "side", "feature")
 
 
 @query
 def analogy_score(spark, sf_dir):
     p, a, figures, _ = _problems(spark, sf_dir)
-    s = analogy.scores(a, figures, p, GRID, n_transforms=8, composition=False)
+    s = analogy.scores(a, figures, p, GRID)
     return s.select("problem_id", "analogy", F.round("score", 9).alias("score"))
 
 
-@query
-def analogy_full(spark, sf_dir):
-    p, a, figures, _ = _problems(spark, sf_dir)
-    return analogy.scores(a, figures, p, GRID)
-
-
 @query
 def analogy_triplets(spark, sf_dir):
     p, _, figures, problems = _problems(spark, sf_dir)
-    return analogy.scores(prob.analogies(problems, ["A:B:C::4:5:6"]), figures, p, GRID)
+    s = analogy.scores(prob.analogies(problems, ["A:B:C::4:5:6"]), figures, p, GRID)
+    return s.select("problem_id", "analogy", F.round("score", 9).alias("score"))
 
 
 @query
 def analogy_multiscale(spark, sf_dir):
     p, a, figures, _ = _problems(spark, sf_dir)
-    s = analogy.multiscale_scores(a, figures, p, [4, 8], n_transforms=8, composition=False)
+    s = analogy.multiscale_scores(a, figures, p, [4, 8])
     return s.select("problem_id", "analogy", F.round("score", 9).alias("score"))
 
 
 @query
 def best_answers(spark, sf_dir):
     p, a, figures, _ = _problems(spark, sf_dir)
-    s = analogy.scores(a, figures, p, GRID, n_transforms=8, composition=False)
+    s = analogy.scores(a, figures, p, GRID)
     return analogy.best_answers(s.withColumn("score", F.round("score", 9)))
 
 
-def _decoded(spark, sf_dir, n: int) -> tuple[DataFrame, DataFrame]:
+def _decoded(spark, sf_dir, n: int, sources: int = 1) -> tuple[DataFrame, DataFrame]:
     p = pictures(spark, sf_dir, "binary")
-    e = _encodings(p)
-    codes = encode.encode(e, p, n_transforms=8, composition=False)
+    e = _encodings(p, sources=sources)
+    codes = encode.encode(e, p)
     img = F.struct("h", "w", "pixels")
-    s = e.join(p.select(F.col("img_id").alias("domain1"), "h", "w", img.alias("source1")), "domain1").select("encoding_id", "h", "w", "source1", F.lit(None).cast("struct<h:int,w:int,pixels:array<int>>").alias("source2"))
+    s = e.join(p.select(F.col("img_id").alias("domain1"), "h", "w", img.alias("source1")), "domain1")
+    s = s.join(p.select(F.col("img_id").alias("domain2"), img.alias("source2")), "domain2", "left").select("encoding_id", "h", "w", "source1", "source2")
     targets = e.join(p.select(F.col("img_id").alias("range_img"), "pixels"), "range_img").select("encoding_id", "pixels")
     return encode.decode(codes, s, n), targets
 
 
 @query
 def decode_n(spark, sf_dir):
-    d, _ = _decoded(spark, sf_dir, 2)
-    return d.select("encoding_id", "step", F.posexplode("pixels").alias("p", "value"))
+    return _steps(_decoded(spark, sf_dir, 8)[0])
+
+
+@query
+def decode_two_sources(spark, sf_dir):
+    return _steps(_decoded(spark, sf_dir, 8, 2)[0])
+
+
+def _steps(decoded: DataFrame) -> DataFrame:
+    return decoded.select("encoding_id", "step", F.posexplode("pixels").alias("p", "value")).select("encoding_id", "step", "p", F.round("value", 6).alias("value"))
 
 
 @query
 def decode_quality(spark, sf_dir):
-    return encode.decode_quality(*_decoded(spark, sf_dir, 4), 5)
+    q = encode.decode_quality(*_decoded(spark, sf_dir, 4), 5)
+    return q.select("encoding_id", "step", F.round("score", 6).alias("score"))
 
 
 @query
@@ -444,4 +487,4 @@ def chunks_of_n(spark, sf_dir):
 @query
 def repeated_cells(spark, sf_dir):
     t = images.tiles(pictures(spark, sf_dir), GRID).select("img_id", "dx", "dy")
-    return t.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(1)))).groupBy("img_id").agg(F.count("*").alias("n_cells"))
+    return images.repeated(t, 2).groupBy("img_id").agg(F.count("*").alias("n_cells"))

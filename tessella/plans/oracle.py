@@ -111,32 +111,36 @@ def bin_sql(b: str) -> str:
     return f"CASE WHEN {b} <= -240 THEN '(-255, -240)' WHEN {b} > 220 THEN '(220, 255)' ELSE concat('(', {hi} - 20, ', ', {hi}, ')') END"
 
 
-def _analogies(grids: list[int]) -> str:
-    """CTEs up to ``said`` (problem_id, relation, feature): features of the pair relations A:B and C:1 .. C:6."""
-    ctes = ["fig AS (SELECT vec_id // 9 AS problem_id, ['A', 'B', 'C', '1', '2', '3', '4', '5', '6'][vec_id % 9 + 1] AS figure, vec_id AS img_id FROM embeddings QUALIFY count(*) OVER (PARTITION BY vec_id // 9) = 9)",
-            "rel AS (SELECT * FROM (VALUES ('A', 'B'), ('C', '1'), ('C', '2'), ('C', '3'), ('C', '4'), ('C', '5'), ('C', '6')) AS t(f1, f2))",
-            "enc AS (SELECT a.problem_id, concat(f1, ':', f2) AS relation, unnest([a.img_id, b.img_id]) AS d, unnest([b.img_id, a.img_id]) AS r FROM rel JOIN fig a ON a.figure = f1 JOIN fig b ON b.problem_id = a.problem_id AND b.figure = f2)"]
-    found = []
+def _analogies(grids: list[int], relations: list[str]) -> str:
+    """CTEs up to ``said`` (problem_id, relation, feature): features of relations of two or three figures, in all directions."""
+    n = len(relations[0].split(":"))
+    names = ", ".join(f"('{x}', " + ", ".join(f"'{f}'" for f in x.split(":")) + ")" for x in relations)
+    figures = "fig AS (SELECT vec_id // 9 AS problem_id, ['A', 'B', 'C', '1', '2', '3', '4', '5', '6'][vec_id % 9 + 1] AS figure, vec_id AS img_id FROM embeddings QUALIFY count(*) OVER (PARTITION BY vec_id // 9) = 9)"
+    if n == 2:
+        whole = f"""rel AS (SELECT * FROM (VALUES {names}) AS t(relation, f1, f2)),
+way AS (SELECT a.problem_id, relation, unnest([a.img_id, b.img_id]) AS d1, CAST(NULL AS BIGINT) AS d2, unnest([b.img_id, a.img_id]) AS r FROM rel JOIN fig a ON a.figure = f1 JOIN fig b ON b.problem_id = a.problem_id AND b.figure = f2)"""
+    else:
+        whole = f"""rel AS (SELECT * FROM (VALUES {names}) AS t(relation, f1, f2, f3)),
+way AS (SELECT a.problem_id, relation, unnest([a.img_id, b.img_id, b.img_id, c.img_id, a.img_id, c.img_id]) AS d1, unnest([b.img_id, a.img_id, c.img_id, b.img_id, c.img_id, a.img_id]) AS d2, unnest([c.img_id, c.img_id, a.img_id, a.img_id, b.img_id, b.img_id]) AS r
+    FROM rel JOIN fig a ON a.figure = f1 JOIN fig b ON b.problem_id = a.problem_id AND b.figure = f2 JOIN fig c ON c.problem_id = a.problem_id AND c.figure = f3)"""
+    number = "((coalesce(d2, 0) * 1048576 + d1) * 1048576 + r)"
+    ctes = [figures, whole]
     for g in grids:
-        r, c = gather("ti", "i", "j", g)
-        ctes += [
-            f"tl{g} AS (SELECT img_id, y // {g} * {g} AS dx, x // {g} * {g} AS dy, y % {g} AS i, x % {g} AS j, v FROM px)",
-            f"kept{g} AS (SELECT img_id, dx, dy FROM tl{g} GROUP BY ALL HAVING min(v) <= 128)",
-            f"turned{g} AS (SELECT t.img_id, t.dx AS sx, t.dy AS sy, ti, c.i, c.j, t.v FROM (SELECT ti, i, j, {r} AS gi, {c} AS gj FROM range(8) q(ti), range({g}) a(i), range({g}) b(j)) c JOIN tl{g} t ON t.i = c.gi AND t.j = c.gj JOIN kept{g} k ON k.img_id = t.img_id AND k.dx = t.dx AND k.dy = t.dy)",
-            f"low{g} AS (SELECT img_id, min(dx) AS nx, min(dy) AS ny FROM kept{g} GROUP BY 1)",
-            f"cand{g} AS (SELECT e.d, e.r, t.dx, t.dy, u.sx, u.sy, u.ti, sum(((t.v - u.v) * (t.v - u.v)) % 256) AS sq, sum(t.v) AS rs, sum(u.v) AS ds FROM (SELECT DISTINCT d, r FROM enc) e JOIN tl{g} t ON t.img_id = e.r JOIN turned{g} u ON u.img_id = e.d AND u.i = t.i AND u.j = t.j GROUP BY ALL)",
-            f"best{g} AS (SELECT *, sqrt(CAST(sq AS DOUBLE)) + (1.0::DOUBLE / (sqrt(CAST(power({8 - g} - nx, 2) + power({8 - g} - ny, 2) AS DOUBLE)) + 10)) * sqrt(CAST(power(dx - sx, 2) + power(dy - sy, 2) AS DOUBLE)) AS err FROM cand{g} JOIN low{g} ON img_id = d QUALIFY row_number() OVER (PARTITION BY d, r, dx, dy ORDER BY err, sx, sy, ti) = 1)",
-            f"codes{g} AS (SELECT d * 1000000 + r AS encoding_id, dx, dy, sx, sy, ti, CAST(greatest(-255, least(255, floor((4 * rs - 3 * ds) / {4.0 * g * g}))) AS INTEGER) AS brightness, 0 AS comp, {g} AS grid FROM best{g})",
-            f"f{g} AS ({_features(f'codes{g}')})",
-        ]
-        found.append(f"SELECT * FROM f{g}")
-    ctes.append(f"said AS (SELECT DISTINCT problem_id, relation, feature FROM enc JOIN ({' UNION ALL '.join(found)}) ON encoding_id = d * 1000000 + r)")
+        ctes += [f"enc{g} AS (SELECT DISTINCT {number} AS encoding_id, d1, d2, r FROM way)", _full_codes(g, n - 1, 5 if n == 2 else 2, str(g)), f"f{g} AS ({_features(f'codes{g}')})"]
+    found = " UNION ALL ".join(f"SELECT * FROM f{g}" for g in grids)
+    ctes.append(f"said AS (SELECT DISTINCT problem_id, relation, feature FROM way JOIN ({found}) ON encoding_id = {number})")
     return ",\n".join(ctes)
 
 
-_SCORE = """ans AS (SELECT DISTINCT problem_id, relation FROM said WHERE relation <> 'A:B'),
-marks AS (SELECT a.problem_id, a.relation, s.feature, bool_or(s.relation = 'A:B') AND bool_or(s.relation <> 'A:B') AS shared FROM ans a JOIN said s ON s.problem_id = a.problem_id AND (s.relation = 'A:B' OR s.relation = a.relation) GROUP BY ALL),
-score AS (SELECT problem_id, 'A:B::' || relation AS analogy, round(count(*) FILTER (shared) / CAST(count(*) AS DOUBLE), 9) AS score FROM marks GROUP BY ALL)"""
+_PAIRS = ["A:B", *(f"C:{i}" for i in range(1, 7))]
+_TRIPLETS = ["A:B:C", "4:5:6"]
+
+
+def _score(premise: str) -> str:
+    return f"""ans AS (SELECT DISTINCT problem_id, relation FROM said WHERE relation <> '{premise}'),
+marks AS (SELECT a.problem_id, a.relation, s.feature, bool_or(s.relation = '{premise}') AND bool_or(s.relation <> '{premise}') AS shared FROM ans a JOIN said s ON s.problem_id = a.problem_id AND (s.relation = '{premise}' OR s.relation = a.relation) GROUP BY ALL),
+score AS (SELECT problem_id, '{premise}::' || relation AS analogy, round(count(*) FILTER (shared) / CAST(count(*) AS DOUBLE), 9) AS score FROM marks GROUP BY ALL)"""
+
 
 _WHITE = "count(*) FILTER (v > 10)"
 _OUT = "CASE WHEN {} THEN 0 ELSE 255 END"
@@ -150,21 +154,71 @@ def _positions(n: int) -> str:
     return f"y * {n} + x"
 
 
-def _xor(source: str, key: str) -> str:
+def _xor(source: str, key: str, tag: str = "") -> str:
     """CTEs ``xb`` (key, y, x, v): exclusive or of a and b of ``source``, blurred; ``side`` by its largest pixel."""
-    return f"""{_kernel(blocks.gaussian(5, 1.0).tolist(), 'kg')},
-xm AS (SELECT {key}, y, x, CASE WHEN (a <> 0) <> (b <> 0) THEN 255 ELSE 0 END AS v FROM {source}),
-xs AS ({_correlated('xm', {'s': 'kg'}, key)}),
-xb AS (SELECT {key}, y, x, CASE WHEN floor(s) > 90 THEN 0 ELSE 255 END AS v FROM xs)"""
+    return f"""{_kernel(blocks.gaussian(5, 1.0).tolist(), f'kg{tag}')},
+xm{tag} AS (SELECT {key}, y, x, CASE WHEN (a <> 0) <> (b <> 0) THEN 255 ELSE 0 END AS v FROM {source}),
+xs{tag} AS ({_correlated(f'xm{tag}', {'s': f'kg{tag}'}, key)}),
+xb{tag} AS (SELECT {key}, y, x, CASE WHEN floor(s) > 90 THEN 0 ELSE 255 END AS v FROM xs{tag})"""
 
 
-def _all_compositions(source: str, key: str) -> str:
+def _all_compositions(source: str, key: str, tag: str = "") -> str:
     """CTE ``made`` (key, xk, y, x, v, t): all six compositions of a, b next to target c."""
     u = "SELECT {key}, {k} AS xk, y, x, {e} AS v, c AS t FROM {s}"
     one = lambda k, e: u.format(key=key, k=k, e=e, s=source)
-    return f"""{_xor(source, key)},
-made AS ({one(0, 'a')} UNION ALL {one(2, _OUT.format('a < 128 OR b < 128'))} UNION ALL {one(3, _OUT.format('a < 128 AND b < 128'))} UNION ALL {one(4, _OUT.format('a <= 128 AND b > 128'))}
-    UNION ALL {one(5, _OUT.format('b <= 128 AND a > 128'))} UNION ALL SELECT {key}, 6, xb.y, xb.x, xb.v, c FROM xb JOIN {source} USING ({key}, y, x))"""
+    return f"""{_xor(source, key, tag)},
+made{tag} AS ({one(0, 'a')} UNION ALL {one(2, _OUT.format('a < 128 OR b < 128'))} UNION ALL {one(3, _OUT.format('a < 128 AND b < 128'))} UNION ALL {one(4, _OUT.format('a <= 128 AND b > 128'))}
+    UNION ALL {one(5, _OUT.format('b <= 128 AND a > 128'))} UNION ALL SELECT {key}, 6, x.y, x.x, x.v, c FROM xb{tag} x JOIN {source} USING ({key}, y, x))"""
+
+
+def _full_codes(g: int, sources: int, widths: int, tag: str = "") -> str:
+    """CTEs from enc{tag} (encoding_id, d1, d2, r) to codes{tag}: ten transforms and compositions.
+
+    Images are 8 x 8, in px; the domains must have a tile that isn't white.
+    """
+    t, one = tag, sources == 1
+    r, c = gather("ti", "i", "j", g)
+    second = "" if one else f" UNION ALL SELECT encoding_id, 2, d2 FROM enc{t}"
+    light = f"orig{t}" if one else f"light{t}"
+    return f"""{_kernel(blocks.SOBEL.tolist(), f'kh{t}')}, {_kernel(_SOBEL_V, f'kv{t}')}, {_wavelets(g * g, widths, f'cw{t}')},
+tl{t} AS (SELECT img_id, y // {g} * {g} AS dx, x // {g} * {g} AS dy, y % {g} AS i, x % {g} AS j, v FROM px),
+use{t} AS (SELECT encoding_id, 1 AS src, d1 AS img_id FROM enc{t}{second}),
+rng{t} AS (SELECT encoding_id, dx, dy, i, j, v FROM enc{t} JOIN tl{t} ON img_id = r),
+kept{t} AS (SELECT encoding_id, dx AS sx, dy AS sy FROM use{t} JOIN tl{t} USING (img_id) GROUP BY ALL HAVING min(v) <= 128),
+tile{t} AS (SELECT DISTINCT img_id, dx AS sx, dy AS sy, i, j, v FROM use{t} JOIN tl{t} USING (img_id)),
+filled{t} AS (SELECT p.img_id, p.sx, p.sy, p.i, p.j, CASE WHEN bool_or(q.v < 128 AND q.i = p.i AND q.j <= p.j) AND bool_or(q.v < 128 AND q.i = p.i AND q.j >= p.j) AND bool_or(q.v < 128 AND q.j = p.j AND q.i <= p.i) AND bool_or(q.v < 128 AND q.j = p.j AND q.i >= p.i) THEN 0 ELSE 255 END AS v
+    FROM tile{t} p JOIN tile{t} q USING (img_id, sx, sy) GROUP BY ALL),
+grad{t} AS (SELECT p.img_id, p.sx, p.sy, p.i, p.j, p.v, sum(h.wt * coalesce(q.v, 255)) AS gx, sum(w.wt * coalesce(q.v, 255)) AS gy FROM tile{t} p CROSS JOIN kh{t} h JOIN kv{t} w USING (ky, kx)
+    LEFT JOIN tile{t} q ON q.img_id = p.img_id AND q.sx = p.sx AND q.sy = p.sy AND q.i = p.i + ky AND q.j = p.j + kx GROUP BY ALL),
+unfilled{t} AS (SELECT img_id, sx, sy, i, j, CASE WHEN v < 128 AND 255 - sqrt(gx * gx + gy * gy) * 255 / (max(sqrt(gx * gx + gy * gy)) OVER (PARTITION BY img_id, sx, sy) + 1e-6::DOUBLE) < 128 THEN 0 ELSE 255 END AS v FROM grad{t}),
+turned{t} AS (SELECT d.img_id, d.sx, d.sy, c.ti, c.i, c.j, d.v FROM (SELECT ti, i, j, {r} AS gi, {c} AS gj FROM range(8) t(ti), range({g}) a(i), range({g}) b(j)) c JOIN tile{t} d ON d.i = c.gi AND d.j = c.gj
+    UNION ALL SELECT img_id, sx, sy, 8, i, j, v FROM filled{t} UNION ALL SELECT img_id, sx, sy, 9, i, j, v FROM unfilled{t}),
+low{t} AS (SELECT encoding_id, sqrt(CAST(power({8 - g} - min(sx), 2) + power({8 - g} - min(sy), 2) AS DOUBLE)) AS far FROM kept{t} GROUP BY encoding_id),
+pair{t} AS (SELECT DISTINCT u.img_id, e.r FROM use{t} u JOIN enc{t} e USING (encoding_id)),
+size{t} AS (SELECT p.img_id, p.r, b.dx, b.dy, a.sx, a.sy, a.ti, sum(CASE WHEN a.ti = 9 THEN (b.v - a.v) * (b.v - a.v) ELSE ((b.v - a.v) * (b.v - a.v)) % 256 END) AS sq
+    FROM pair{t} p JOIN tl{t} b ON b.img_id = p.r JOIN turned{t} a ON a.img_id = p.img_id AND a.i = b.i AND a.j = b.j GROUP BY ALL),
+best{t} AS (SELECT e.encoding_id, u.src, s.dx, s.dy, s.sx, s.sy, s.ti, sqrt(CAST(sq AS DOUBLE)) + (1.0::DOUBLE / (far + 10)) * sqrt(CAST(power(dx - s.sx, 2) + power(dy - s.sy, 2) AS DOUBLE)) AS err
+    FROM use{t} u JOIN enc{t} e USING (encoding_id) JOIN size{t} s ON s.img_id = u.img_id AND s.r = e.r JOIN kept{t} k ON k.encoding_id = e.encoding_id AND k.sx = s.sx AND k.sy = s.sy JOIN low{t} l ON l.encoding_id = e.encoding_id
+    QUALIFY row_number() OVER (PARTITION BY e.encoding_id, dx, dy ORDER BY err, src, s.sx, s.sy, ti) = 1),
+tri{t} AS (SELECT (b.encoding_id * 100 + b.dx * 10 + b.dy) AS key, q.i AS y, q.j AS x, t1.v AS a, {'q.v' if one else 't2.v'} AS b, q.v AS c FROM best{t} b JOIN enc{t} e USING (encoding_id) JOIN tl{t} q ON q.img_id = e.r AND q.dx = b.dx AND q.dy = b.dy
+    JOIN turned{t} t1 ON t1.img_id = e.d1 AND t1.sx = b.sx AND t1.sy = b.sy AND t1.ti = b.ti AND t1.i = q.i AND t1.j = q.j
+    {'' if one else f'JOIN turned{t} t2 ON t2.img_id = e.d2 AND t2.sx = b.sx AND t2.sy = b.sy AND t2.ti = b.ti AND t2.i = q.i AND t2.j = q.j'}),
+{_all_compositions(f'tri{t}', 'key', t)},
+src{t} AS (SELECT key, xk, y * {g} + x AS p, v AS m, t FROM made{t}), {_cw_score(f'src{t}', 'key, xk', g * g, f'sc{t}', f'cw{t}')},
+comp{t} AS (SELECT key, xk FROM sc{t} QUALIFY row_number() OVER (PARTITION BY key ORDER BY round(s, 11) DESC, xk) = 1),
+light{t} AS (SELECT key, any_value(xk) AS xk, floor((4 * sum(t) - 3 * sum(v)) / {4.0 * g * g}) AS l FROM made{t} JOIN comp{t} USING (key, xk) GROUP BY key),
+orig{t} AS (SELECT key, floor((4 * sum(c) - 3 * sum(a)) / {4.0 * g * g}) AS l FROM tri{t} GROUP BY key),
+codes{t} AS (SELECT encoding_id, CAST(dx AS INTEGER) AS dx, CAST(dy AS INTEGER) AS dy, CAST(sx AS INTEGER) AS sx, CAST(sy AS INTEGER) AS sy, CAST(ti AS INTEGER) AS ti, 0.75::DOUBLE AS contrast,
+    CAST(greatest(-255, least(255, {light}.l)) AS INTEGER) AS brightness, CAST(xk AS INTEGER) AS comp, {g} AS grid FROM best{t} JOIN light{t} ON light{t}.key = encoding_id * 100 + dx * 10 + dy JOIN orig{t} ON orig{t}.key = light{t}.key)"""
+
+
+def _neighbours(n: int) -> str:
+    """CTE ``enc`` of the encodings of neighbouring images, n - 1 sources."""
+    second = "encoding_id * 3 + 1" if n == 3 else "CAST(NULL AS BIGINT)"
+    return f"enc AS (SELECT encoding_id, encoding_id * {n} AS d1, {second} AS d2, encoding_id * {n} + {n - 1} AS r FROM (SELECT img_id // {n} AS encoding_id FROM (SELECT DISTINCT img_id FROM px) GROUP BY 1 HAVING count(*) = {n}))"
+
+
+FULL_CODES = {n: f"{_neighbours(n)}, {_full_codes(G, n - 1, 5 if n == 2 else 2)}" for n in (2, 3)}
 
 
 ORACLE: dict[str, str] = {
@@ -230,13 +284,14 @@ SELECT pair_id, xk AS x, CASE xk WHEN 0 THEN 'ImageCompIdentityLeft' WHEN 2 THEN
 FROM sc QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY round(s, 11) DESC, xk) = 1""",
     "best_composition_rmse": f"""WITH {px('binary')}, {TRIPLE}, {_all_compositions('tr', 'pair_id')}, sc AS (SELECT pair_id, xk, sqrt(CAST(sum(CASE WHEN xk = 0 THEN ((v - t) * (v - t)) % 256 ELSE (v - t) * (v - t) END) AS DOUBLE)) / 64 AS s FROM made GROUP BY ALL)
 SELECT pair_id, xk AS x, round(s, 6) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY round(s, 11), xk) = 1""",
-    "feature_strings": f"WITH {px('binary')}, {CODES} {_features()}",
+    "feature_strings": f"WITH {px('binary')}, {FULL_CODES[2]} {_features()}",
     "brightness_bins": f"SELECT CAST(b AS INTEGER) AS b, {bin_sql('b')} AS bin FROM range(-255, 256) t(b)",
     "problem_records": "WITH f AS (SELECT vec_id // 9 AS problem_id, ['A', 'B', 'C', '1', '2', '3', '4', '5', '6'][vec_id % 9 + 1] AS figure, vec_id AS img_id FROM embeddings QUALIFY count(*) OVER (PARTITION BY vec_id // 9) = 9) SELECT problem_id, concat('problem ', problem_id) AS name, '2x2' AS ptype, figure, img_id FROM f",
-    "mutual_features": f"WITH {px('binary')}, {_analogies([4])} SELECT problem_id, feature FROM said WHERE relation = 'A:B'",
-    "analogy_score": f"WITH {px('binary')}, {_analogies([4])}, {_SCORE} SELECT * FROM score",
-    "analogy_multiscale": f"WITH {px('binary')}, {_analogies([4, 8])}, {_SCORE} SELECT * FROM score",
-    "best_answers": f"WITH {px('binary')}, {_analogies([4])}, {_SCORE} SELECT * FROM score QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY score DESC, analogy) = 1",
+    "mutual_features": f"WITH {px('binary')}, {_analogies([4], _PAIRS)} SELECT problem_id, 'A:B::' || a.relation AS analogy, side, feature FROM (SELECT problem_id, relation, unnest([1, 2]) AS side FROM (SELECT DISTINCT problem_id, relation FROM said WHERE relation <> 'A:B')) a JOIN said s USING (problem_id) WHERE s.relation = CASE side WHEN 1 THEN 'A:B' ELSE a.relation END",
+    "analogy_score": f"WITH {px('binary')}, {_analogies([4], _PAIRS)}, {_score('A:B')} SELECT * FROM score",
+    "analogy_triplets": f"WITH {px('binary')}, {_analogies([4], _TRIPLETS)}, {_score('A:B:C')} SELECT * FROM score",
+    "analogy_multiscale": f"WITH {px('binary')}, {_analogies([4, 8], _PAIRS)}, {_score('A:B')} SELECT * FROM score",
+    "best_answers": f"WITH {px('binary')}, {_analogies([4], _PAIRS)}, {_score('A:B')} SELECT * FROM score QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY score DESC, analogy) = 1",
     "label_components": f"""WITH RECURSIVE {px('sparse')}, whole AS (SELECT img_id // 16 AS m FROM px GROUP BY 1 HAVING count(*) = 1024),
 on_ AS (SELECT m AS img_id, (((img_id % 16) // 4) * 8 + y) * 32 + (img_id % 4) * 8 + x AS p FROM px JOIN whole ON m = img_id // 16 WHERE v < 128),
 reach AS (SELECT img_id, p, p AS q FROM on_ UNION SELECT r.img_id, r.p, o.p FROM reach r JOIN on_ o ON o.img_id = r.img_id AND abs(o.p // 32 - r.q // 32) <= 1 AND abs(o.p % 32 - r.q % 32) <= 1),
@@ -249,58 +304,97 @@ c AS (SELECT m AS img_id, ((img_id % 16) // 4) * 8 + y AS y, (img_id % 4) * 8 +
 }
 ORACLE["fill_stacked"] = ORACLE["fill_shape"]
 ORACLE["match_2x1_relational"] = ORACLE["match_2x1_argmin"]
-_SETS = f"WITH {px('binary')}, {CODES}, f AS (SELECT DISTINCT encoding_id // 2 AS k, encoding_id % 2 AS odd, feature FROM ({_features()}))"
+_SETS = f"WITH {px('binary')}, {FULL_CODES[2]}, f AS (SELECT DISTINCT encoding_id // 2 AS k, encoding_id % 2 AS odd, feature FROM ({_features()}))"
 _SIDE = "SELECT k, feature FROM f WHERE odd = {}"
 for _name, _op in (("union", "UNION"), ("intersection", "INTERSECT"), ("difference", "EXCEPT")):
     ORACLE[f"feature_{_name}"] = f"{_SETS} {_SIDE.format(0)} {_op} {_SIDE.format(1)}"
 ORACLE["feature_jaccard"] = f"{_SETS}, n AS (SELECT k, feature, count(*) AS c FROM f GROUP BY ALL) SELECT k, round(count(*) FILTER (c = 2) / CAST(count(*) AS DOUBLE), 9) AS score FROM n GROUP BY k"
 
 
-def _encode(n: int, widths: int) -> str:
-    """Ten transforms and compositions: codes of encodings with n - 1 sources."""
-    last = n - 1
+for _n, _name in ((2, "encode_2x1"), (3, "encode_3x1")):
+    ORACLE[_name] = f"WITH {px('binary')}, {FULL_CODES[_n]} SELECT * FROM codes"
+
+
+def _decode_steps(steps: int) -> str:
+    """CTEs s0 .. s{steps} (encoding_id, y, x, v, u) from ``codes`` and ``enc``: v and u are the two sources of the next step.
+
+    A step composes the tiles of both sources, transforms them, and puts 0.75 of the result plus the brightness at the range tile.
+    """
     r, c = gather("ti", "i", "j", G)
-    edges = _kernel(blocks.SOBEL.tolist(), "kh") + ", " + _kernel(_SOBEL_V, "kv")
-    return f"""WITH {px('binary')}, {TILES}, {edges}, {_wavelets(16, widths)},
-enc AS (SELECT img_id // {n} AS encoding_id FROM (SELECT DISTINCT img_id FROM px) GROUP BY 1 HAVING count(*) = {n}),
-rng AS (SELECT encoding_id, dx, dy, i, j, v FROM enc JOIN tl ON img_id = encoding_id * {n} + {last}),
-kept AS (SELECT encoding_id, dx AS sx, dy AS sy FROM enc JOIN tl ON img_id BETWEEN encoding_id * {n} AND encoding_id * {n} + {last - 1} GROUP BY ALL HAVING min(v) <= 128),
-dom AS (SELECT encoding_id, img_id - encoding_id * {n} + 1 AS src, dx AS sx, dy AS sy, i, j, v FROM enc JOIN tl ON img_id BETWEEN encoding_id * {n} AND encoding_id * {n} + {last - 1} JOIN kept k USING (encoding_id) WHERE k.sx = dx AND k.sy = dy),
-filled AS (SELECT p.encoding_id, p.src, p.sx, p.sy, p.i, p.j, CASE WHEN bool_or(q.v < 128 AND q.i = p.i AND q.j <= p.j) AND bool_or(q.v < 128 AND q.i = p.i AND q.j >= p.j) AND bool_or(q.v < 128 AND q.j = p.j AND q.i <= p.i) AND bool_or(q.v < 128 AND q.j = p.j AND q.i >= p.i) THEN 0 ELSE 255 END AS v
-    FROM dom p JOIN dom q USING (encoding_id, src, sx, sy) GROUP BY ALL),
-grad AS (SELECT p.encoding_id, p.src, p.sx, p.sy, p.i, p.j, p.v, sum(kh.wt * coalesce(q.v, 255)) AS gx, sum(kv.wt * coalesce(q.v, 255)) AS gy FROM dom p CROSS JOIN kh JOIN kv USING (ky, kx)
-    LEFT JOIN dom q ON q.encoding_id = p.encoding_id AND q.src = p.src AND q.sx = p.sx AND q.sy = p.sy AND q.i = p.i + ky AND q.j = p.j + kx GROUP BY ALL),
-unfilled AS (SELECT encoding_id, src, sx, sy, i, j, CASE WHEN v < 128 AND 255 - sqrt(gx * gx + gy * gy) * 255 / (max(sqrt(gx * gx + gy * gy)) OVER (PARTITION BY encoding_id, src, sx, sy) + 1e-6::DOUBLE) < 128 THEN 0 ELSE 255 END AS v FROM grad),
-turned AS (SELECT d.encoding_id, d.src, d.sx, d.sy, c.ti, c.i, c.j, d.v FROM (SELECT ti, i, j, {r} AS gi, {c} AS gj FROM range(8) t(ti), range({G}) a(i), range({G}) b(j)) c JOIN dom d ON d.i = c.gi AND d.j = c.gj
-    UNION ALL SELECT encoding_id, src, sx, sy, 8, i, j, v FROM filled UNION ALL SELECT encoding_id, src, sx, sy, 9, i, j, v FROM unfilled),
-far AS (SELECT encoding_id, sqrt(CAST(power(4 - min(sx), 2) + power(4 - min(sy), 2) AS DOUBLE)) AS d FROM kept GROUP BY encoding_id),
-cand AS (SELECT r.encoding_id, r.dx, r.dy, t.src, t.sx, t.sy, t.ti, sum(CASE WHEN t.ti = 9 THEN (r.v - t.v) * (r.v - t.v) ELSE ((r.v - t.v) * (r.v - t.v)) % 256 END) AS sq FROM rng r JOIN turned t ON t.encoding_id = r.encoding_id AND t.i = r.i AND t.j = r.j GROUP BY ALL),
-best AS (SELECT c.*, sqrt(CAST(sq AS DOUBLE)) + (1.0::DOUBLE / (d + 10)) * sqrt(CAST(power(dx - sx, 2) + power(dy - sy, 2) AS DOUBLE)) AS err FROM cand c JOIN far USING (encoding_id)
-    QUALIFY row_number() OVER (PARTITION BY encoding_id, dx, dy ORDER BY err, src, sx, sy, ti) = 1),
-tri AS (SELECT (b.encoding_id * 100 + b.dx * 10 + b.dy) AS key, r.i AS y, r.j AS x, t1.v AS a, {'r.v' if n == 2 else 't2.v'} AS b, r.v AS c FROM best b JOIN rng r USING (encoding_id, dx, dy)
-    JOIN turned t1 ON t1.encoding_id = b.encoding_id AND t1.src = 1 AND t1.sx = b.sx AND t1.sy = b.sy AND t1.ti = b.ti AND t1.i = r.i AND t1.j = r.j
-    {'' if n == 2 else 'JOIN turned t2 ON t2.encoding_id = b.encoding_id AND t2.src = 2 AND t2.sx = b.sx AND t2.sy = b.sy AND t2.ti = b.ti AND t2.i = r.i AND t2.j = r.j'}),
-{_all_compositions('tri', 'key')},
-src AS (SELECT key, xk, y * {G} + x AS p, v AS m, t FROM made), {_cw_score('src', 'key, xk', G * G, 'sc')},
-comp AS (SELECT key, xk FROM sc QUALIFY row_number() OVER (PARTITION BY key ORDER BY round(s, 11) DESC, xk) = 1),
-light AS (SELECT key, any_value(xk) AS xk, floor((4 * sum(t) - 3 * sum(v)) / {4.0 * G * G}) AS l FROM made JOIN comp USING (key, xk) GROUP BY key),
-orig AS (SELECT key, floor((4 * sum(c) - 3 * sum(a)) / {4.0 * G * G}) AS l FROM tri GROUP BY key)
-SELECT encoding_id, CAST(dx AS INTEGER) AS dx, CAST(dy AS INTEGER) AS dy, CAST(sx AS INTEGER) AS sx, CAST(sy AS INTEGER) AS sy, CAST(ti AS INTEGER) AS ti, 0.75::DOUBLE AS contrast,
-    CAST(greatest(-255, least(255, {'orig.l' if n == 2 else 'light.l'})) AS INTEGER) AS brightness, CAST(xk AS INTEGER) AS comp, {G} AS grid FROM best JOIN light ON light.key = encoding_id * 100 + dx * 10 + dy JOIN orig USING (key)"""
-
-
-ORACLE["encode_2x1"] = _encode(2, 5)
-ORACLE["encode_3x1"] = _encode(3, 2)
-
-
-def _decode() -> str:
-    """Two steps from the domain image: 0.75 * transformed tile + brightness, at the range tile."""
-    step = lambda k: f"""s{k} AS (SELECT c.encoding_id, c.dx + g.i AS y, c.dy + g.j AS x, 0.75::DOUBLE * q.v + c.brightness AS v FROM codes c
-    JOIN (SELECT ti, i, j, {r} AS gi, {co} AS gj FROM range(8) t(ti), range({G}) a(i), range({G}) b(j)) g ON g.ti = c.ti
-    JOIN s{k - 1} q ON q.encoding_id = c.encoding_id AND q.y = c.sx + g.gi AND q.x = c.sy + g.gj)"""
-    r, co = gather("ti", "i", "j", G)
-    return f"""WITH {px('binary')}, {CODES}, s0 AS (SELECT encoding_id, y, x, CAST(v AS DOUBLE) AS v FROM enc JOIN px ON img_id = encoding_id * 2), {step(1)}, {step(2)}
-SELECT encoding_id, step, CAST(y * 8 + x AS INTEGER) AS p, v AS value FROM (SELECT 0 AS step, * FROM s0 UNION ALL SELECT 1, * FROM s1 UNION ALL SELECT 2, * FROM s2)"""
-
-
-ORACLE["decode_n"] = _decode()
+    outside = f"SELECT p.i, p.j, CASE WHEN floor(sum(wt) * 255) > 90 THEN 0 ELSE 255 END AS v FROM range({G}) p(i), range({G}) q(j), kdec WHERE i + ky NOT BETWEEN 0 AND {G - 1} OR j + kx NOT BETWEEN 0 AND {G - 1} GROUP BY ALL"
+    ctes = [
+        f"{_kernel(blocks.SOBEL.tolist(), 'khd')}, {_kernel(_SOBEL_V, 'kvd')}, {_kernel(blocks.gaussian(5, 1.0).tolist(), 'kdec')}",
+        f"gath AS (SELECT ti, i, j, {r} AS gi, {c} AS gj FROM range(8) t(ti), range({G}) a(i), range({G}) b(j))",
+        "s0 AS (SELECT encoding_id, a.y, a.x, CAST(a.v AS DOUBLE) AS v, CAST(b.v AS DOUBLE) AS u FROM enc JOIN px a ON a.img_id = d1 JOIN px b ON b.img_id = coalesce(d2, d1) AND b.y = a.y AND b.x = a.x)",
+    ]
+    for k in range(1, steps + 1):
+        ctes += [
+            f"cut{k} AS (SELECT encoding_id, dx, dy, ti, comp, brightness, y - sx AS i, x - sy AS j, v, u FROM codes JOIN s{k - 1} USING (encoding_id) WHERE y - sx BETWEEN 0 AND {G - 1} AND x - sy BETWEEN 0 AND {G - 1})",
+            f"""xor{k} AS (SELECT p.encoding_id, p.dx, p.dy, p.i, p.j, CASE WHEN trunc(sum(wt * CASE WHEN q.v IS NULL THEN 255 WHEN (q.v <> 0) <> (q.u <> 0) THEN 255 ELSE 0 END)) > 90 THEN 0 ELSE 255 END AS v FROM (SELECT * FROM cut{k} WHERE comp = 6) p CROSS JOIN kdec
+    LEFT JOIN cut{k} q ON q.encoding_id = p.encoding_id AND q.dx = p.dx AND q.dy = p.dy AND q.i = p.i + ky AND q.j = p.j + kx GROUP BY ALL)""",
+            f"""com{k} AS (SELECT p.encoding_id, p.dx, p.dy, p.ti, p.brightness, p.i, p.j, CAST(CASE p.comp WHEN 0 THEN p.v WHEN 2 THEN {_OUT.format('p.v < 128 OR u < 128')} WHEN 3 THEN {_OUT.format('p.v < 128 AND u < 128')}
+    WHEN 4 THEN {_OUT.format('p.v <= 128 AND u > 128')} WHEN 5 THEN {_OUT.format('u <= 128 AND p.v > 128')} ELSE o.v END AS DOUBLE) AS v FROM cut{k} p LEFT JOIN xor{k} o USING (encoding_id, dx, dy, i, j))""",
+            f"""fil{k} AS (SELECT p.encoding_id, p.dx, p.dy, p.i, p.j, CASE WHEN bool_or(q.v < 128 AND q.i = p.i AND q.j <= p.j) AND bool_or(q.v < 128 AND q.i = p.i AND q.j >= p.j) AND bool_or(q.v < 128 AND q.j = p.j AND q.i <= p.i) AND bool_or(q.v < 128 AND q.j = p.j AND q.i >= p.i) THEN 0 ELSE 255 END AS v
+    FROM (SELECT * FROM com{k} WHERE ti = 8) p JOIN com{k} q USING (encoding_id, dx, dy) GROUP BY ALL)""",
+            f"""gra{k} AS (SELECT p.encoding_id, p.dx, p.dy, p.i, p.j, p.v, sum(h.wt * coalesce(q.v, 255)) AS gx, sum(w.wt * coalesce(q.v, 255)) AS gy FROM (SELECT * FROM com{k} WHERE ti = 9) p CROSS JOIN khd h JOIN kvd w USING (ky, kx)
+    LEFT JOIN com{k} q ON q.encoding_id = p.encoding_id AND q.dx = p.dx AND q.dy = p.dy AND q.i = p.i + ky AND q.j = p.j + kx GROUP BY ALL)""",
+            f"""put{k} AS (SELECT c.encoding_id, c.dx, c.dy, g.i, g.j, c.v FROM com{k} c JOIN gath g ON g.ti = c.ti AND g.gi = c.i AND g.gj = c.j UNION ALL SELECT encoding_id, dx, dy, i, j, CAST(v AS DOUBLE) FROM fil{k}
+    UNION ALL SELECT encoding_id, dx, dy, i, j, CASE WHEN v < 128 AND 255 - sqrt(gx * gx + gy * gy) * 255 / (max(sqrt(gx * gx + gy * gy)) OVER (PARTITION BY encoding_id, dx, dy) + 1e-6::DOUBLE) < 128 THEN 0.0 ELSE 255.0 END FROM gra{k})""",
+            f"s{k} AS (SELECT p.encoding_id, dx + i AS y, dy + j AS x, 0.75::DOUBLE * p.v + brightness AS v, 0.75::DOUBLE * p.v + brightness AS u FROM put{k} p JOIN codes USING (encoding_id, dx, dy))",
+        ]
+    return ",\n".join(ctes)
+
+
+def _steps(n: int) -> str:
+    return " UNION ALL ".join(f"SELECT {k} AS step, encoding_id, y, x, v FROM s{k}" for k in range(n + 1))
+
+
+for _n, _name in ((2, "decode_n"), (3, "decode_two_sources")):
+    ORACLE[_name] = f"WITH {px('binary')}, {FULL_CODES[_n]}, {_decode_steps(8)} SELECT encoding_id, step, CAST(y * 8 + x AS INTEGER) AS p, round(v, 6) AS value FROM ({_steps(8)})"
+ORACLE["decode_quality"] = f"""WITH {px('binary')}, {FULL_CODES[2]}, {_decode_steps(4)}, {_wavelets(64, 5, 'cwd')}, q AS (SELECT s.encoding_id, s.step, s.y * 8 + s.x AS p, s.v AS m, t.v AS t FROM ({_steps(4)}) s JOIN enc USING (encoding_id) JOIN px t ON t.img_id = r AND t.y = s.y AND t.x = s.x),
+{_cw_score('q', 'encoding_id, step', 64, 'scd', 'cwd')} SELECT encoding_id, step, round(s, 6) AS score FROM scd"""
+
+ORACLE["neighbour_labels"] = f"""WITH RECURSIVE {px('sparse')}, on_ AS (SELECT img_id, y, x, y * 8 + x AS p FROM px WHERE v = 0),
+reach AS (SELECT img_id, y, x, p AS q FROM on_ UNION SELECT r.img_id, r.y, r.x, o.p FROM reach r JOIN on_ o ON o.img_id = r.img_id AND abs(o.y - r.q // 8) <= 1 AND abs(o.x - r.q % 8) <= 1),
+root AS (SELECT img_id, y, x, min(q) AS f FROM reach GROUP BY ALL),
+near AS (SELECT q.img_id, q.y, q.x, count(DISTINCT f) AS n FROM px q LEFT JOIN root r ON r.img_id = q.img_id AND (r.y = q.y AND r.x = q.x - 1 OR r.y = q.y - 1 AND r.x BETWEEN q.x - 1 AND q.x + 1) GROUP BY ALL)
+SELECT img_id, CAST(sum(n) AS BIGINT) AS n_neighbours FROM near GROUP BY img_id"""
+
+
+def _cubic(n: int, m: int, name: str) -> str:
+    """CTE of (to, at, wt): weights of a bicubic resize from n to m, antialiased where it shrinks."""
+    scale, wide = n / m, max(1.0, n / m)
+    t = f"abs((a + 0.5 - (o + 0.5) * {scale!r}::DOUBLE) / {wide!r}::DOUBLE)"
+    inside = f"a >= greatest(0, floor((o + 0.5) * {scale!r}::DOUBLE - {2 * wide!r}::DOUBLE + 0.5)) AND a < least({n}, floor((o + 0.5) * {scale!r}::DOUBLE + {2 * wide!r}::DOUBLE + 0.5))"
+    return f"""{name}_raw AS (SELECT o, a, CASE WHEN t < 1 THEN (1.5 * t - 2.5) * t * t + 1 WHEN t < 2 THEN ((-0.5 * t + 2.5) * t - 4) * t + 2 ELSE 0 END AS k FROM (SELECT o, a, {t} AS t FROM range({m}) p(o), range({n}) q(a) WHERE {inside})),
+{name} AS (SELECT o, a, CAST(k AS DOUBLE) / sum(CAST(k AS DOUBLE)) OVER (PARTITION BY o) AS wt FROM {name}_raw)"""
+
+
+_BYTE = "CAST(greatest(0, least(255, floor(round(sum(wt * v), 9) + 0.5))) AS BIGINT)"
+ORACLE["resize_bicubic"] = f"""WITH {px()}, {_cubic(8, 5, 'kx')}, {_cubic(8, 12, 'ky')}, wide AS (SELECT img_id, y, o AS x, {_BYTE} AS v FROM px JOIN kx ON a = x GROUP BY ALL),
+c AS (SELECT img_id, o AS y, x, {_BYTE} AS v FROM wide JOIN ky ON a = y GROUP BY ALL) SELECT img_id, 12 AS h, 5 AS w, {SUMS.format(w=5)} FROM c GROUP BY img_id"""
+
+_TRIO = f"WITH {px('binary')}, {TRIPLE}, {_all_compositions('tr', 'pair_id')}"
+ORACLE["best_composition_tversky"] = f"""{_TRIO}, sc AS (SELECT pair_id, xk, count(*) FILTER (NOT (v < 128 AND t < 128)) / (count(*) FILTER (NOT (v < 128 OR t < 128)) + 1e-6::DOUBLE) AS s FROM made GROUP BY ALL)
+SELECT pair_id, xk AS x, round(s, 6) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY round(s, 11) DESC, xk) = 1"""
+
+
+def _ssim(source: str, keys: str) -> str:
+    """CTEs up to ``sim`` (keys, y, x, s): structural similarity of m and t at each pixel."""
+    on = " AND ".join(f"q.{k} = p.{k}" for k in keys.split(", "))
+    own = ", ".join(f"p.{k}" for k in keys.split(", "))
+    return f"""{_kernel(blocks.gaussian(3, 1.0).tolist(), 'ks')},
+loc AS (SELECT {own}, p.y, p.x, sum(wt * coalesce(q.m, 255)) AS ux, sum(wt * coalesce(q.t, 255)) AS uy, sum(wt * coalesce(q.m * q.m, 255)) AS sxx, sum(wt * coalesce(q.t * q.t, 255)) AS syy, sum(wt * coalesce(q.m * q.t, 255)) AS sxy
+    FROM {source} p CROSS JOIN ks LEFT JOIN {source} q ON {on} AND q.y = p.y + ky AND q.x = p.x + kx GROUP BY ALL),
+sim AS (SELECT {keys}, y, x, (2 * ux * uy + 6.5025::DOUBLE) * (2 * (sxy - ux * uy) + 58.5225::DOUBLE) / ((ux * ux + uy * uy + 6.5025::DOUBLE) * (sxx - ux * ux + syy - uy * uy + 58.5225::DOUBLE)) AS s FROM loc)"""
+
+
+ORACLE["best_composition_ssim"] = f"""{_TRIO}, mt AS (SELECT pair_id, xk, y, x, v AS m, t FROM made), {_ssim('mt', 'pair_id, xk')}, sc AS (SELECT pair_id, xk, avg(s) AS s FROM sim WHERE y BETWEEN 1 AND 5 AND x BETWEEN 1 AND 5 GROUP BY ALL)
+SELECT pair_id, xk AS x, round(s, 6) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY round(s, 11) DESC, xk) = 1"""
+ORACLE["ssim_map"] = f"WITH {px()}, {PAIR}, mt AS (SELECT pair_id, y, x, a AS m, b AS t FROM pr), {_ssim('mt', 'pair_id')} SELECT pair_id, CAST(y * 8 + x AS INTEGER) AS p, round(s, 6) AS value FROM sim"
+ORACLE["cw_ssim_map"] = f"""WITH {px()}, {PAIR}, {_wavelets(64, 3)}, src AS (SELECT pair_id, y * 8 + x AS p, a AS m, b AS t FROM pr), {_cw_score('src', 'pair_id', 64, 'sc')}
+SELECT pair_id, CAST(i AS INTEGER) AS p, round((2 * ab + 0.01::DOUBLE) / (aa + bb + 0.01::DOUBLE) * ((2 * pl + 0.01::DOUBLE) / (2 * ab + 0.01::DOUBLE)), 6) AS value FROM sc_i"""
+ORACLE["translate_chain"] = f"""WITH {px()}, turned AS (SELECT img_id, 7 - x AS y, y AS x, v FROM px), canvas AS (SELECT img_id, y, x FROM (SELECT DISTINCT img_id FROM px), range(8) a(y), range(8) b(x)),
+c AS (SELECT n.img_id, n.y, n.x, coalesce(p.v, 1) AS v FROM canvas n LEFT JOIN turned p ON p.img_id = n.img_id AND p.y = n.y + 3 AND p.x = n.x - 2) SELECT img_id, {SUMS.format(w=8)} FROM c GROUP BY img_id"""
+ORACLE["compose_text"] = ORACLE["candidate_transforms_n3"].replace("SELECT 1 AS n, name AS names, c AS complexity", "SELECT 'Compose(' || replace(names, '+', '()') || '())' AS text, complexity FROM (SELECT 1 AS n, name AS names, c AS complexity") + ") UNION ALL SELECT 'Compose(Translation(tx=' || tx || ', ty=' || ty || '))', 3 FROM (VALUES (-1), (0), (2)) a(tx), (VALUES (0), (3)) b(ty)"
+ORACLE["compose_registered"] = _pixelwise("greatest(a, b)")

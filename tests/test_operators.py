@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.functions import blocks, columns
+from tessella.functions import blocks, columns, registry
 from tessella.operators import analogy, components, encode, features, images, metrics
 from tessella.sources import images as src
 from tessella.sources import problems
@@ -186,3 +186,83 @@ def test_read_images(spark, tmp_path):
     (folder / "b.png").write_bytes(b"no image")
     got = src.read_images(spark, str(folder)).collect()
     assert len(got) == 1 and (got[0].h, got[0].w, got[0].pixels) == (2, 3, [0, 128, 255, 3, 200, 77])
+
+
+def test_write_images_and_read_them_back(spark, tmp_path):
+    import time
+
+    big = np.random.default_rng(3).integers(0, 256, (1000, 1000))
+    pics = table(spark, noise(1, 5, 3), [[-1, 256], [300, 7]]).union(spark.createDataFrame([(7, 1000, 1000, big.ravel().tolist())], IMAGE))
+    folder = str(tmp_path / "out")
+    src.write_images(pics, folder)
+    src.write_images(pics, folder)  # again: the same files
+    start = time.time()
+    got = {r.origin.rsplit("/", 1)[1]: (r.h, r.w, r.pixels) for r in src.read_images(spark, folder).collect()}
+    assert time.time() - start < 10
+    assert got["0.png"] == (5, 3, [v for r in noise(1, 5, 3) for v in r])
+    assert got["1.png"] == (2, 2, [255, 0, 44, 7])  # as a cast to an unsigned byte has it
+    assert got["7.png"] == (1000, 1000, big.ravel().tolist())
+    empty = spark.createDataFrame([(1, 0, 0, []), (2, 0, 0, None)], IMAGE)
+    assert [r.content for r in src.to_png(empty, "h").collect()] == [None, None]
+
+
+@pytest.mark.parametrize("units", [1, 2_000, 10**9])
+def test_units_are_spread_and_carry_their_own_rows(spark, monkeypatch, units):
+    """Whatever a unit holds, codes are the same; one pair of images is dealt out as units."""
+    pics = table(spark, noise(1, 22, 18), noise(2, 22, 18), noise(3, 22, 18))
+    e = spark.createDataFrame([(1, 0, None, 1, 4), (2, 0, 2, 1, 3), (3, 1, None, 2, 5)], ENC)
+    monkeypatch.setattr(encode, "UNIT_CANDIDATES", 10**12)
+    want = sorted(encode.encode(e, pics).collect())
+    monkeypatch.setattr(encode, "UNIT_CANDIDATES", units)
+    assert sorted(encode.encode(e, pics).collect()) == want
+    if units == 1:
+        one = encode.encode(e.where("encoding_id = 1").withColumn("carry", F.lit(0)), pics, carry=True)
+        parts = one.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions"))  # one pair, all of the cluster
+
+
+def test_carried_columns_stand_with_every_code(spark):
+    pics = table(spark, noise(1), noise(2), WHITE)
+    e = spark.createDataFrame([(1, 0, None, 1, 4, ("x", [("a", 1)])), (2, 2, None, 1, 4, ("y", []))], ENC + ", carry struct<n:string,l:array<struct<s:string,k:int>>>")
+    got = encode.encode(e, pics, carry=True).collect()
+    assert {(r.encoding_id, r.carry.n, tuple(map(tuple, r.carry.l))) for r in got} == {(1, "x", (("a", 1),)), (2, "y", ())} and len(got) == 8
+
+
+def test_registry(spark):
+    a, b = noise(5, 4, 6), noise(6, 4, 6)
+    pics = table(spark, a, b)
+    t = registry.translation(1, -2)
+    assert (t.name, t.complexity, str(t)) == ("Translation", 3, "Translation(tx=1, ty=-2)")
+    assert registry.translation(0, 0) == t and t != registry.TRANSFORMS["Identity"]
+    assert registry.text(["Rotate90", t]) == "Compose(Rotate90()Translation(tx=1, ty=-2))" and registry.complexity(["Rotate90", t]) == 4
+    got = images.chain(pics, ["Rotate90", t]).where("img_id = 0").first()
+    want = blocks.translate(np.rot90(np.array([a]), 1, (1, 2)), 1, -2, 1)[0]
+    assert (got.h, got.w, got.pixels) == (6, 4, want.ravel().tolist())
+    own = registry.register_transform(registry.Transform("Negative", 2, lambda x: 255 - x))
+    registry.register_composition("ImageMean", lambda x, y: (x + y) // 2)
+    try:
+        for f in (lambda: registry.register_transform(own), lambda: registry.register_composition("ImageUnion", max), lambda: registry.forget("Rotate90"), lambda: registry.forget("ImageUnion")):
+            with pytest.raises(ValueError):
+                f()
+        assert images.chain(pics, ["Negative"]).where("img_id = 0").first().pixels == [255 - v for r in a for v in r]
+        mean = images.compose(images.pairs(pics), "ImageMean").first().pixels
+        assert mean == ((np.array(a) + np.array(b)) // 2).ravel().tolist()
+    finally:
+        registry.forget("Negative")
+        registry.forget("ImageMean")
+    with pytest.raises(KeyError):
+        images.chain(pics, ["Negative"])
+
+
+def test_repeated_cells(spark):
+    cells = spark.range(3)
+    assert sorted(map(tuple, images.repeated(cells, 2).collect())) == [(i, k) for i in range(3) for k in range(2)]
+    assert images.repeated(cells, 0).count() == 0
+
+
+def test_maps_have_the_scores_as_means(spark):
+    both = images.pairs(table(spark, noise(1, 13, 13), noise(2, 13, 13)))
+    whole = np.array(metrics.cw_ssim_map(both, 4).first().similarity)
+    assert len(whole) == 169 and whole.mean() == pytest.approx(metrics.cw_ssim(both, 4).first().score)
+    part = np.array(metrics.ssim_map(both).first().similarity).reshape(13, 13)[1:12, 1:12]
+    assert blocks.ssim(np.array([noise(1, 13, 13)]), np.array([noise(2, 13, 13)]), 23)[0] == pytest.approx(part.mean())
