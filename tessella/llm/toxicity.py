@@ -44,7 +44,7 @@ class ToxicityParams:
 
     toxic_rows: int = 1_600
     clean_rows: int = 3_000
-    max_chars: int = 12_000_000
+    max_chars: int = 8_000_000
     buckets: int = 1 << 18
     zeros: float = 5.0
     noise: tuple[float, ...] = (2.0, 3.0, 4.0)
@@ -154,25 +154,56 @@ def _bags(texts: list[str], zeros: float) -> tuple[Words, np.ndarray, np.ndarray
     return w, first, text, word, value / (np.bincount(text, value, len(texts)) + zeros)[text]
 
 
+def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about BLOCK letters."""
+    size = np.cumsum([len(t) for t in texts])
+    cuts = [0, *(np.flatnonzero(np.diff(size // BLOCK)) + 1).tolist(), len(texts)]
+    yield from ((a, z) for a, z in zip(cuts[:-1], cuts[1:], strict=True) if z > a)
+
+
 class _Sample:
-    """Texts as sparse shares of words, and words as bags of buckets, sorted by word."""
+    """Texts as sparse shares of words, and words as bags of buckets, sorted by word.
+
+    Texts are taken in blocks, so that what is held grows with the distinct
+    words alone.
+    """
 
     def __init__(self, texts: list[str], y: np.ndarray, p: ToxicityParams):
-        w, first, self.text, self.word, self.share = _bags(texts, p.zeros)
-        self.y, self.n_words = y, len(first)
-        gram, own, base = [], [], 0
-        for part in w.blocks(first):
-            g, o = w.grams(part, p)
-            gram.append(g)
-            own.append((o + base).astype(np.int32))
-            base += len(part)
-        gram, own = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (gram, own))
-        self.size = np.bincount(own, minlength=self.n_words)
-        uses = np.bincount(gram, np.bincount(self.word, minlength=self.n_words)[own], p.buckets)
-        keep = uses[gram] > 2  # two uses are never more than noise
-        order = np.argsort(own[keep], kind="stable")
-        self.own = own[keep][order]
-        self.used, self.gram = np.unique(gram[keep][order], return_inverse=True)
+        known: dict[int, int] = {}
+        text, word, share, gram, size = [], [], [], [], []
+        for a, z in _blocks(texts):
+            w, first, t, own, value = _bags(texts[a:z], p.zeros)
+            before = len(known)
+            at = np.array([known.setdefault(h, len(known)) for h in w.hash[first].tolist()], np.int32)
+            text.append((t + a).astype(np.int32))
+            word.append(at[own])
+            share.append(value.astype(np.float32))
+            for part in w.blocks(first[at >= before]):  # words that are new, in their order
+                g, o = w.grams(part, p)
+                gram.append(g[np.argsort(o, kind="stable")])
+                size.append(np.bincount(o, minlength=len(part)).astype(np.int32))
+        self.y, self.n_words = y, len(known)
+        del known
+
+        def join(parts: list[np.ndarray], kind: type) -> np.ndarray:
+            out = np.concatenate(parts) if parts else np.zeros(0, kind)
+            parts.clear()
+            return out
+
+        gram, self.size = join(gram, np.int32), join(size, np.int32)
+        self.text, self.word, self.share = join(text, np.int32), join(word, np.int32), join(share, np.float32)
+        own = np.repeat(np.arange(self.n_words, dtype=np.int32), self.size)
+        texts_with = np.bincount(self.word, minlength=self.n_words).astype(np.int32)
+        uses = np.zeros(p.buckets)
+        for k in range(0, len(gram), 1 << 20):
+            uses += np.bincount(gram[k : k + (1 << 20)], texts_with[own[k : k + (1 << 20)]], p.buckets)
+        often = uses > 2  # two uses are never more than noise
+        keep = often[gram]
+        self.used = np.flatnonzero(often)
+        gram = gram[keep]
+        self.own = own[keep]
+        del own, keep
+        self.gram = (np.cumsum(often, dtype=np.int32) - 1)[gram]
 
     def rows(self, of: np.ndarray) -> "_Part":
         return _Part(self, of)
@@ -182,7 +213,7 @@ class _Part:
     """The texts ``of`` of a sample."""
 
     def __init__(self, sample: _Sample, of: np.ndarray):
-        place = np.full(len(sample.y), -1)
+        place = np.full(len(sample.y), -1, np.int32)
         place[of] = np.arange(len(of))
         mine = place[sample.text] >= 0
         self.sample, self.y = sample, sample.y[of]
@@ -224,7 +255,8 @@ def _descend(part: _Part, chosen: np.ndarray, steps: tuple[int, ...], p: Toxicit
     s, y, share = part.sample, part.y, part.weights(p)
     mine = chosen[s.gram]
     own = s.own[mine]
-    which, gram = np.unique(s.gram[mine], return_inverse=True)
+    which = np.flatnonzero(chosen)
+    gram = (np.cumsum(chosen, dtype=np.int32) - 1)[s.gram[mine]]
     rng = np.random.default_rng(p.seed)
     vectors = rng.normal(0, 0.1, (len(which), p.dim))
     out = rng.normal(0, 0.1, p.dim)  # difference of the two classes' output vectors
@@ -279,6 +311,7 @@ def train(texts: list[str], labels: np.ndarray, p: ToxicityParams = ToxicityPara
             for t, weight, bias in _descend(left, noise >= bound, p.steps, p):
                 tried[bound, t] = _worth(right, weight, bias, p)
         best = max(tried, key=tried.get)
+        del left, right
     every = sample.rows(np.arange(len(y)))
     (_, weight, bias), = _descend(every, every.noise(p) >= best[0], (best[1],), p)
     table = np.zeros(p.buckets, np.float32)
@@ -311,16 +344,16 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
     order = Window.partitionBy("toxic").orderBy("h", "doc_id", "t")
     some = own.withColumn("before", F.sum(F.length("text")).over(order) - F.length("text")).where(F.col("before") < p.max_chars // 2)
     data = some.orderBy("h", "doc_id", "t", "toxic").select("text", "toxic").collect()
-    return train([r.text for r in data], np.array([r.toxic for r in data], float), p)
+    model = train([r.text for r in data], np.array([r.toxic for r in data], float), p)
+    release()
+    return model
 
 
 def scores(texts: list[str], model: ToxicityModel) -> np.ndarray:
     """Score of each text; what a text gets doesn't depend on the texts beside it."""
     p, weight = model.params, model.weight.astype(float)
     out = np.empty(len(texts))
-    size = np.cumsum([len(t) for t in texts])
-    cuts = [0, *(np.flatnonzero(np.diff(size // BLOCK)) + 1).tolist(), len(texts)]
-    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+    for a, z in _blocks(texts):
         w, first, text, word, share = _bags(texts[a:z], p.zeros)
         own = [np.zeros(0)]
         for part in w.blocks(first):
