@@ -25,7 +25,9 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class LangIdParams:
-    """dict_bytes and rows_per_lang bound the labelled sample that is fitted.
+    """dict_bytes and rows_per_lang bound the labelled sample that is fitted;
+    piece_chars: as much of one text goes into a dictionary, so that none
+    consists of a few texts, which may be long, repetitive or mislabelled.
 
     group: languages whose dictionaries are fitted and sent together; more
     languages are several groups.  block_chars: texts are compressed in blocks
@@ -35,6 +37,7 @@ class LangIdParams:
 
     dict_bytes: int = 32_768
     rows_per_lang: int = 200
+    piece_chars: int = 512
     group: int = 256
     block_chars: int = 1_024
     level: int = 6
@@ -52,8 +55,8 @@ def fit(docs: DataFrame, params: LangIdParams = LangIdParams()) -> dict[str, byt
     """Dictionaries from ``text`` and non-null ``lang``, the language with most rows first (ties: by name).
 
     The sample: of each language the rows_per_lang rows whose id hashes lowest
-    (Spark prunes this rank before its shuffle), then whole texts up to
-    dict_bytes.  Ties and repeated rows are ordered by the text's hash.  A
+    (Spark prunes this rank before its shuffle), then a piece of each text, from
+    a place that its hash tells, up to dict_bytes.  Ties and repeated rows are ordered by the text's hash.  A
     language without any letter has no dictionary.
     """
     rows = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
@@ -71,9 +74,11 @@ def _fit_some(rows: DataFrame, langs: list[str], params: LangIdParams) -> dict[s
     chosen = hashed.select("lang", "h", "t").withColumn("rn", F.row_number().over(by_hash)).where(F.col("rn") <= params.rows_per_lang)
     sample = (
         hashed.join(F.broadcast(chosen.drop("rn").distinct()), ["lang", "h", "t"], "left_semi")  # at most group * rows_per_lang rows
-        .select("lang", "h", "t", F.substring(letters(F.col("text")), 1, params.dict_bytes).alias("s"))
         .dropDuplicates(["lang", "h", "t"])
+        .select("lang", "h", "t", letters(F.col("text")).alias("s"))
     )
+    start = F.pmod(F.col("t"), F.greatest(F.lit(1), F.length("s") - params.piece_chars)).cast("int") + 1
+    sample = sample.withColumn("s", F.substring("s", start, F.lit(params.piece_chars)))
     # of each language, only as many of those rows as fill its dictionary reach the driver
     before = F.sum(F.octet_length("s") + 1).over(by_hash) - F.octet_length("s") - 1
     some = sample.withColumn("before", before).where(F.col("before") < params.dict_bytes)
