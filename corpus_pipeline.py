@@ -3,7 +3,9 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows that its
 predecessor kept; all but the last return the columns of ``documents``.  Rows
 that repeat stay repeated up to the near-duplicate stage, which keeps one.
-Null texts have no language and go at the first stage.
+Null texts have no language and go at the first stage; a null id is no one's first
+copy; tables without rows give none; other columns than those of ``documents``
+are left out.
 """
 
 from __future__ import annotations

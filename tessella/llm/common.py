@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -17,12 +18,16 @@ DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (local tests) a temporary folder is set once.
+    Where it is unset a temporary folder is set once, on a local master alone:
+    the machines of a cluster would each write to their own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -32,8 +37,9 @@ def save(df: DataFrame, name: str, codec: str = "uncompressed") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Lineage ends here, so a lost executor costs a reread and no recomputation.
-    The folder is deleted when the driver's JVM ends.  Narrow tables stay
-    uncompressed: native codecs hold memory outside the heap for each file.
+    The folder is deleted by :func:`drop_saved`, or when the driver's JVM ends.
+    Narrow tables stay uncompressed: native codecs hold memory outside the heap
+    for each file.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
@@ -41,16 +47,24 @@ def save(df: DataFrame, name: str, codec: str = "uncompressed") -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
 
 
-def drop_saved(df: DataFrame) -> None:
-    """Delete a table of :func:`save` that nothing will read again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in df.inputFiles()[:1]:
-        at = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def drop_saved(*tables: DataFrame) -> None:
+    """Delete tables of :func:`save` that nothing will read again."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def whole_ids(docs: DataFrame) -> DataFrame:
+    """``docs``; TypeError unless doc_id is a whole number, whose order tells which of several copies is the first."""
+    if not isinstance(docs.schema["doc_id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"doc_id must be a whole number, not {docs.schema['doc_id'].dataType.simpleString()}")
+    return docs
 
 
 def held_out(doc_id: Column) -> Column:

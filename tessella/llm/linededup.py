@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, text_of
+from .common import drop_saved, save, text_of, whole_ids
 
 MIN_WORDS = 50
 _LAST = (1 << 63) - 1
@@ -66,7 +66,8 @@ def suffix_ranks(lines: DataFrame, depth: int) -> tuple[DataFrame, int]:
         ranks = _ranked(both, [f"r{level}", "next"], f"r{level + 1}")
         if ranks.isEmpty():
             break
-        now = save(pairs.join(ranks, [f"r{level}", "next"], "left").drop("next"), "lines-active")
+        now, old = save(pairs.join(ranks, [f"r{level}", "next"], "left").drop("next"), "lines-active"), now
+        drop_saved(old, ranks)
         level += 1
     return now, level
 
@@ -103,7 +104,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     named = save(named.select("pid", "th", "at", "l", "a", "b"), "lines-blocks")
 
     here = F.struct("pid", "th", "at")
-    least = named.groupBy("l", "a", "b").agg(F.min(here).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # saved, so that the join's sides are plain shuffles, of which Spark splits what one block has too much of
+    least = save(named.groupBy("l", "a", "b").agg(F.min(here).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "lines-least")
     later = named.join(least, ["l", "a", "b"]).where(here > F.col("least")).select("pid", "th", F.col("at").alias("lo"), (F.col("at") + F.col("l") - 1).alias("hi")).distinct()
     # merge what overlaps or touches
     by_lo = Window.partitionBy("pid", "th").orderBy("lo", "hi")
@@ -120,14 +122,19 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, keep: tuple[str, ..
     Every row stays, if need be with empty text.  Null text stays null and has
     one blank line.  Rows equal in id and text count once and lose the same
     lines.  Blank lines don't take part; they go if they stand inside a run.
+    A doc_id that is no whole number is a TypeError.
     """
+    whole_ids(docs)
     runs = repeated_runs(docs, min_words)
     lines = F.split(text_of(F.col("text")), "\n", -1)
     whole = _keyed(docs.select(*dict.fromkeys((*keep, "doc_id", "text")))).join(runs, ["pid", "th"], "left")
     full = F.filter(F.transform(F.col("_lines"), lambda x, i: F.when(x.rlike(r"\S"), i)), lambda i: i.isNotNull())
     spans = F.transform("runs", lambda r: F.struct(F.col("_full")[r.lo].alias("first"), F.col("_full")[r.hi].alias("last")))
     out = whole.withColumn("_lines", lines).withColumn("_full", F.when(F.col("runs").isNotNull(), full)).withColumn("spans", F.coalesce(spans, F.expr("cast(array() as array<struct<first:int,last:int>>)")))
-    kept = F.filter("_lines", lambda x, i: ~F.exists("spans", lambda s: i.between(s["first"], s["last"])))
+    # what stands between one span and the next, in one pass over both
+    after = F.concat(F.array(F.lit(-1)), F.transform("spans", lambda s: s["last"]))
+    before = F.concat(F.transform("spans", lambda s: s["first"]), F.array(F.size("_lines")))
+    kept = F.flatten(F.zip_with(after, before, lambda a, b: F.slice("_lines", a + 2, b - a - 1)))
     out = out.withColumn("_kept", F.when(F.col("runs").isNotNull(), kept))
     return out.select(
         *[c for c in keep if c != "text"],

@@ -133,7 +133,7 @@ class Encoder:
         by_len: dict[int, list[int]] = {}
         for k, i in enumerate(use):
             by_len.setdefault(len(model.pieces[i]), []).append(k)
-        self.powers = np.ones(1, np.uint64)
+        self.powers = self.inverse = np.ones(1, np.uint64)
         for n, rows in by_len.items():
             prefix, powers = self._prefix(_codes([model.pieces[use[k]] for k in rows], n))
             keys[rows] = _hash(prefix, powers, 0, n)
@@ -153,12 +153,14 @@ class Encoder:
             self._merges(use)
 
     def _prefix(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix hashes of every word, modulo 2^64: sums of characters over powers of the base, times the power reached."""
         n = codes.shape[1]
-        while len(self.powers) <= n:
-            self.powers = np.append(self.powers, self.powers[-1:] * _BASE)  # modulo 2^64
+        if len(self.powers) <= n:
+            size = max(n + 1, 2 * len(self.powers))
+            self.powers, self.inverse = (np.multiply.accumulate(np.append(np.uint64(1), np.full(size, x))) for x in (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64))))
         prefix = np.zeros((len(codes), n + 1), np.uint64)
-        for i in range(n):
-            prefix[:, i + 1] = prefix[:, i] * _BASE + codes[:, i].astype(np.uint64) + np.uint64(1)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * self.inverse[1 : n + 1], axis=1, out=prefix[:, 1:])
+        prefix[:, 1:] *= self.powers[1 : n + 1]
         return prefix, self.powers
 
     # ---- BPE: which two pieces stay neighbours

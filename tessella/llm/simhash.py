@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, release, save, text_of, worker_state
+from .common import bounded, release, save, text_of, whole_ids, worker_state
 from .components import connected_components
 from .similar import SimilarParams, hasher
 from .similar import links as similar_links
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, similar: SimilarParams | None = None) -> DataF
             yield b
         release()
 
-    bounded(docs.sparkSession)
+    bounded(whole_ids(docs).sparkSession)
     text, kinds = text_of(F.col("text")), "doc_id long, th long, fp long" + ", s long, n long, keys array<long>" * (similar is not None)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInPandas(run, kinds)
 
@@ -132,8 +132,10 @@ def _probe_fine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def links(distinct: DataFrame, hot_entry: int = HOT_ENTRY) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints at most RADIUS bits apart.
 
-    ``distinct`` has a column ``fp``, unique and saved.  No link is lost, and
-    no entry of more than ``hot_entry`` fingerprints is compared pair by pair.
+    ``distinct`` has a column ``fp``, unique and saved.  No link is lost.  No
+    half that more than ``hot_entry`` fingerprints share is compared pair by
+    pair; the finer keys of those keep 48 bits, so that who shares one differs
+    in the other 16 bits alone.
     """
     halves = distinct.select("fp", F.shiftrightunsigned("fp", 32).alias("u"), F.col("fp").bitwiseAND(0xFFFFFFFF).alias("l"))
     large = lambda c: halves.groupBy(c).count().where(F.col("count") > hot_entry).select(c, F.lit(True).alias(f"hot_{c}"))
@@ -168,8 +170,9 @@ def near_duplicates(docs: DataFrame, hot_entry: int = HOT_ENTRY, similar: Simila
 
     Null text is empty; empty texts have fingerprint zero and link like any
     other.  Repeated rows keep one result each.  A null doc_id takes part but
-    is never the smallest; a component of only such rows has a null id.  With
-    ``similar``, texts of so similar shingle sets link too.
+    is never the smallest; a component of only such rows has a null id; a
+    doc_id that is no whole number is a TypeError.  With ``similar``, texts of
+    so similar shingle sets link too.
     """
     fps, roots = _grouped(docs, hot_entry, similar)
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp")
