@@ -116,6 +116,26 @@ def compose_transform_args(spark, sf_dir):
     return _sum(images.chain(pictures(spark, sf_dir), names), "img_id")
 
 
+@query
+def compose_transform_fill(spark, sf_dir):
+    names = images.chosen_transforms(angle=180, vf=1, ryx=1, fill=2)
+    return _sum(images.chain(pictures(spark, sf_dir, "sparse"), names), "img_id")
+
+
+@query
+def compose_transform_unfill(spark, sf_dir):
+    names = images.chosen_transforms(angle=270, hf=1, fill=1)
+    return _sum(images.chain(pictures(spark, sf_dir), names), "img_id")
+
+
+@query
+def grey_of_colours(spark, sf_dir):
+    """Luma of neighbouring images as red, green and blue, after the channel count is checked."""
+    t = _pairs(spark, sf_dir, "grey", 3).withColumn("n", src.channels(F.lit(3)))
+    grey = F.transform(F.arrays_zip("a", "b", "c"), lambda p: src.luma(p["a"], p["b"], p["c"]))
+    return _sum(t.withColumn("pixels", grey), "pair_id", "n")
+
+
 @query
 def transforms_dimension(spark, sf_dir):
     ship(spark)

@@ -303,6 +303,13 @@ c AS (SELECT m AS img_id, ((img_id % 16) // 4) * 8 + y AS y, (img_id % 4) * 8 +
     "repeated_cells": "SELECT vec_id AS img_id, CAST(8 AS BIGINT) AS n_cells FROM embeddings",
 }
 ORACLE["fill_stacked"] = ORACLE["fill_shape"]
+# half a turn, upside down, then transposed; then filled
+ORACLE["compose_transform_fill"] = f"""WITH {px('sparse', 'px0')}, px AS (SELECT img_id, 7 - x AS y, y AS x, v FROM px0), e AS (SELECT *, CAST(v < 128 AS INTEGER) AS k FROM px),
+f AS (SELECT p.img_id, p.y, p.x, max(CASE WHEN q.y = p.y AND q.x <= p.x THEN k END) AS l, max(CASE WHEN q.y = p.y AND q.x >= p.x THEN k END) AS r, max(CASE WHEN q.x = p.x AND q.y <= p.y THEN k END) AS u, max(CASE WHEN q.x = p.x AND q.y >= p.y THEN k END) AS d
+    FROM px p JOIN e q ON q.img_id = p.img_id AND (q.y = p.y OR q.x = p.x) GROUP BY ALL), c AS (SELECT img_id, y, x, CASE WHEN l + r + u + d = 4 THEN 0 ELSE 255 END AS v FROM f) SELECT img_id, {SUMS.format(w=8)} FROM c GROUP BY img_id"""
+# three quarters of a turn and left to right: transposed; then unfilled
+ORACLE["compose_transform_unfill"] = f"WITH {px('grey', 'px0')}, px AS (SELECT img_id, x AS y, y AS x, v FROM px0), {EDGES}, c AS (SELECT img_id, y, x, CASE WHEN v < 128 AND e < 128 THEN 0 ELSE 255 END AS v FROM edge) SELECT img_id, {SUMS.format(w=8)} FROM c GROUP BY img_id"
+ORACLE["grey_of_colours"] = f"WITH {px()}, {TRIPLE}, g AS (SELECT pair_id, y, x, (a * 19595 + b * 38470 + c * 7471 + 32768) >> 16 AS v FROM tr) SELECT pair_id, 3 AS n, {SUMS.format(w=8)} FROM g GROUP BY pair_id"
 ORACLE["match_2x1_relational"] = ORACLE["match_2x1_argmin"]
 _SETS = f"WITH {px('binary')}, {FULL_CODES[2]}, f AS (SELECT DISTINCT encoding_id // 2 AS k, encoding_id % 2 AS odd, feature FROM ({_features()}))"
 _SIDE = "SELECT k, feature FROM f WHERE odd = {}"
