@@ -209,7 +209,7 @@ def _compare(k: int, scale: float = 1.0):
 def _ranked(partial: DataFrame, k: int, scale: float = 1.0) -> DataFrame:
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = partial.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", "vec_id", F.col("score") / scale / scale if scale != 1 else "score")
+    return best.select("query_id", "rank", "vec_id", (F.col("score") / scale / scale).alias("score") if scale != 1 else "score")
 
 
 def brute_force(rows: DataFrame, queries: list[tuple[int, np.ndarray]], k: int, scale: float = 1.0) -> DataFrame:

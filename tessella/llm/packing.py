@@ -30,6 +30,8 @@ END_ID = 0
 #: Letters of texts that are worked on at once, and of the longest words that are remembered: memory follows no text's words.
 BLOCK = 1_000_000
 CACHED_LETTERS = 48
+#: Groups from which on lengths are rounded little enough.
+FINE = 64
 
 
 @dataclass(frozen=True)
@@ -261,9 +263,18 @@ def _configurations(sizes: list[int], need: list[int], capacity: int) -> list[tu
 def plan(histogram: dict[int, int], p: PackParams = PackParams()) -> list[tuple[tuple[int, ...], int]]:
     """Bins that hold every length as often as the histogram says: (lengths, how many such bins).
 
-    Of the plans with each number of groups, the one with fewest bins.
+    Of the plans with each number of groups, the one with fewest bins.  Where
+    few groups were asked for and much room stays, their number is doubled until
+    it is FINE: uneven lengths in one group cost more room than they are worth.
     """
-    return min((_plan(histogram, p, g) for g in p.groups), key=lambda bins: sum(n for _, n in bins))
+    plans = [_plan(histogram, p, g) for g in p.groups]
+    size = lambda bins: sum(n for _, n in bins)
+    best, g = min(plans, key=size), max(p.groups)
+    least = max(-(-sum(n * c for n, c in histogram.items()) // p.capacity), sum(c for n, c in histogram.items() if 2 * n > p.capacity))
+    while g < FINE and size(best) > least + least // 50 + 1:
+        g *= 2
+        best = min(best, _plan(histogram, p, g), key=size)
+    return best
 
 
 def _plan(histogram: dict[int, int], p: PackParams, n_groups: int) -> list[tuple[tuple[int, ...], int]]:

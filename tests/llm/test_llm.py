@@ -259,6 +259,10 @@ def test_plan_holds_everything(hist, groups):
     assert max(low, sum(v for k, v in hist.items() if k > 32)) <= n <= 2 * low + 1
 
 
+def test_plan_of_uneven_lengths():
+    assert check_bins({11: 12, 54: 1}, packing.plan({11: 12, 54: 1}, packing.PackParams(capacity=64, groups=(2,))), 64) == 4
+
+
 def test_plan_is_tight():
     rng = np.random.default_rng(0)
     lengths = np.minimum(2048, rng.lognormal(6, 1, 50_000).astype(int) + 1)
@@ -451,7 +455,11 @@ def test_ann_odd_vectors(spark):
     """Unequal lengths are searched apart; products that overflow are ranked by size."""
     rows = [(0, [1.0, 2.0]), (1, [3.0, 4.0]), (2, [1.0, 1.0, 1.0]), (20, [2.0, 0.0, 1.0]), (4, []), (6, [1e200, 2e200, 0.0, 1.0]), (40, [3e200, 1e200, 0.0, 0.0]), (8, [2e200, 2e200, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = [tuple(r) for r in ann.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    found = ann.search(df, F.col("vec_id") % 20 == 0)
+    assert found.columns == ["query_id", "rank", "vec_id", "score"]
+    alone = ann.search(df.where(F.size("embedding") == 4), F.col("vec_id") % 20 == 0)
+    assert alone.columns == found.columns and alone.count() == 2
+    got = [tuple(r) for r in found.orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 11.0), (20, 1, 2, 3.0), (40, 1, 8, float("inf")), (40, 2, 6, float("inf"))]
 
 
