@@ -884,6 +884,69 @@ def test_similar_texts_link(spark):
     assert simhash.near_duplicates(docs(spark, []), similar=p).count() == 0
 
 
+def join_rows(spark, call):
+    """Most rows that one join of what ``call`` runs made."""
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    before = store.executionsCount()
+    call()
+    runs = store.executionsList()
+    for k in range(before, runs.size()):
+        at = runs.apply(k).executionId()
+        seen, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for n in range(nodes.size()):
+            metrics = nodes.apply(n).metrics()
+            for m in range(metrics.size() if "Join" in nodes.apply(n).name() else 0):
+                if metrics.apply(m).name() == "number of output rows":
+                    most = max(most, int(seen.apply(metrics.apply(m).accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_near_copies_meet_few(spark):
+    """Copies of one text with words of their own, most of them under the similarity: no join grows with their square."""
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in rng.integers(0, 5_000, 150)]
+    texts = [" ".join(base)]
+    for i in range(500):
+        one = list(base)
+        for k in rng.choice(150, rng.integers(2, 8), replace=False):
+            one[k] = f"own{i}n{k}"
+        texts.append(" ".join(one[: 150 - int(rng.integers(0, 3))]))
+    p, got = similar.SimilarParams(), {}
+    most = join_rows(spark, lambda: got.update({r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, texts), similar=p).collect()}))
+    assert len(texts) < most < p.entries * len(texts)  # as many as they have entries
+    sets, fps = [set(simhash.shingles(t, p.words).tolist()) for t in texts], [simhash.fingerprint(t) for t in texts]
+    root = [*range(len(texts))]
+    for j in root:
+        for i in range(j):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) or (fps[i] ^ fps[j]).bit_count() <= simhash.RADIUS:
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    assert got == dict(enumerate(root)) and 1 < len(set(root)) < len(texts)
+
+
+def test_rarest_shingles_meet(spark):
+    """Every similar pair of sets of different roots is among the pairs compared, at 0.8 exactly too, whatever the sizes."""
+    rng, p = np.random.default_rng(8), similar.SimilarParams()
+    sets = [{1}, {2}, {1, 2}, set(range(100, 104)), set(range(100, 105)), set(range(200, 209)), set(range(201, 210)), {-5, *range(200, 209)}]
+    for n in (3, 6, 10, 30, 120, 400):
+        for _ in range(12):
+            one = set(rng.integers(-n * 3, n * 3, n).tolist())
+            sets += [one, {*rng.permutation([*one])[: max(1, int(len(one) * rng.uniform(0.75, 1)))].tolist()}, {*one, *rng.integers(10**6, 10**9, int(n * rng.uniform(0, 0.3))).tolist()}]
+            sets.append({*rng.permutation([*sets[-1]])[: max(1, int(len(sets[-1]) * 0.95))].tolist()})
+    sets = [set(x) for x in {frozenset(map(int, x)) for x in sets}]
+    near = {(i, j) for j in range(len(sets)) for i in range(j) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))}
+    assert len(near) > 100 and any(5 * len(sets[i] & sets[j]) == 4 * len(sets[i] | sets[j]) for i, j in near)
+    posts = common.save(similar.postings(spark.createDataFrame([(i, [*map(int, x)]) for i, x in enumerate(sets)], "s long, h array<long>"), p), "test-postings")
+    for groups in (len(sets), 7):
+        root = {i: i % groups for i in range(len(sets))}
+        left = spark.createDataFrame([*root.items()], "s long, root long")
+        got = {(r.a, r.b) for r in similar.rest_pairs(posts, left, p).collect()}
+        assert {x for x in near if root[x[0]] != root[x[1]]} <= got and all(root[a] != root[b] for a, b in got)
+        assert len(got) < len(sets) ** 2 / 8
+        lead = {(r.a, r.b) for turn in (0, 1) for r in similar.lead_pairs(posts, left, turn, p).collect()}
+        assert lead and lead <= got
+
+
 # ---- what all share
 
 
